@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrinium.llm import canonical, packing, splitting, tokens
+from scrinium.llm import canonical, neighbours, packing, splitting, tokens
 from scrinium.sources.tables import table
 
 
@@ -32,6 +32,16 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunk").select("id", "percorso", "n", "testo"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks of which one is among the other's five most similar."""
+    return neighbours.neighbour_pairs(neighbours.nearest_vectors(table(spark, folder, "chunk")))
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar chunks of every chunk with a valid vector."""
+    return neighbours.nearest_vectors(table(spark, folder, "chunk"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, folder, "documents"))
@@ -59,7 +69,7 @@ FROM chunk WHERE length(testo) > 2500 GROUP BY id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p6_ids, p7_found, p7_containers)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_neighbours, p6_ids, p7_found, p7_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
