@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrinium.llm import canonical, neighbours, packing, splitting, tokens
+from scrinium.llm import canonical, near_duplicates, neighbours, packing, splitting, tokens
 from scrinium.sources.tables import table
 
 
@@ -42,6 +42,18 @@ def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest_vectors(table(spark, folder, "chunk"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks that are copies or slightly edited versions of each other."""
+    return near_duplicates.similar_pairs(*near_duplicates.near_duplicates(table(spark, folder, "chunk")))
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each chunk's class of copies, and how many classes that is linked to."""
+    members, links = near_duplicates.near_duplicates(table(spark, folder, "chunk"))
+    count = links.select(F.explode(F.array("a", "b")).alias("classe")).groupBy("classe").agg(F.count("*").alias("legami"))
+    return members.join(count, "classe", "left").select("id", "classe", F.coalesce("legami", F.lit(0)).alias("legami"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, folder, "documents"))
@@ -62,6 +74,14 @@ WITH forms AS (SELECT DISTINCT id, testo, t FROM ({canonical.canonical_sql("test
 SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.t = b.t AND a.id < b.id AND a.testo <> b.testo
 """
 
+P5_SQL = r"""
+WITH words AS (SELECT id, regexp_extract_all(lower(testo), '[\p{L}\p{N}_]+') AS w FROM (SELECT DISTINCT id, testo FROM chunk WHERE testo IS NOT NULL)),
+sets AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM words WHERE len(w) >= 60),
+sizes AS (SELECT id, count(*) AS n FROM sets GROUP BY id),
+shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM shared JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9
+"""
+
 P3_SQL = r"""
 SELECT id, max(CASE WHEN list_max(list_transform(regexp_split_to_array(testo, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'), lambda s: length(s))) > 2500 THEN 1 ELSE 0 END)::INT AS forzato
 FROM chunk WHERE length(testo) > 2500 GROUP BY id
@@ -69,7 +89,7 @@ FROM chunk WHERE length(testo) > 2500 GROUP BY id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_neighbours, p6_ids, p7_found, p7_containers)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classes, p6_ids, p7_found, p7_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -77,4 +97,5 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": P2_SQL,
         "p2_forms": f"SELECT id, t AS forma FROM ({canonical.canonical_sql('testo', '(SELECT id, testo FROM chunk)')})",
         "p3_found": P3_SQL,
+        "p5_found": P5_SQL,
     }
