@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrinium.llm import canonical, near_duplicates, neighbours, packing, splitting, tokens
+from scrinium.llm import canonical, near_duplicates, neighbours, packing, quality, splitting, tokens
 from scrinium.sources.tables import table
 
 
@@ -69,6 +69,20 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_corpus(table(spark, folder, "documents"))
 
 
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "etichette"), table(spark, folder, "parole_comuni"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are not natural prose."""
+    return quality.not_prose(_judged(spark, folder))
+
+
+def p8_figures(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's figures, rule and verdict."""
+    return _judged(spark, folder)
+
+
 P2_SQL = f"""
 WITH forms AS (SELECT DISTINCT id, testo, t FROM ({canonical.canonical_sql("testo", "(SELECT id, testo FROM chunk WHERE testo IS NOT NULL)")}))
 SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.t = b.t AND a.id < b.id AND a.testo <> b.testo
@@ -89,7 +103,7 @@ FROM chunk WHERE length(testo) > 2500 GROUP BY id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classes, p6_ids, p7_found, p7_containers)}
+    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classes, p6_ids, p7_found, p7_containers, p8_found, p8_figures)}
 
 
 def oracle_sql() -> dict[str, str]:
