@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrinium.llm import canonical, near_duplicates, neighbours, packing, quality, splitting, tokens
+from scrinium.llm import canonical, near_duplicates, neighbours, packing, quality, scans, splitting, tokens
 from scrinium.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of noise of scanned pages that each chunk has whole."""
+    return scans.noise_kinds(scans.repair_scans(table(spark, folder, "chunk"), table(spark, folder, "files")))
+
+
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The repaired text of every chunk of a scanned file."""
+    return scans.repair_scans(table(spark, folder, "chunk"), table(spark, folder, "files"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks that differ in characters and look the same."""
     return canonical.same_look_pairs(table(spark, folder, "chunk"))
@@ -103,7 +113,7 @@ FROM chunk WHERE length(testo) > 2500 GROUP BY id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classes, p6_ids, p7_found, p7_containers, p8_found, p8_figures)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classes, p6_ids, p7_found, p7_containers, p8_found, p8_figures)}
 
 
 def oracle_sql() -> dict[str, str]:
