@@ -46,7 +46,7 @@ def normalised(text: Column) -> Column:
 
 
 def windows(text: Column, size: int = WINDOW, overlap: int = OVERLAP) -> Column:
-    """Array of windows: a text up to ``size`` is one, a longer one gives a window every ``size - overlap``. Empty text: none."""
+    """Array of windows: a text up to ``size`` is one, a longer one gives a window every ``size - overlap``. Empty or null text: none."""
     step = size - overlap
     n = F.when(F.length(text) == 0, 0).when(F.length(text) <= size, 1).otherwise(F.ceil(F.length(text) / step)).cast("int")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -91,9 +91,8 @@ def extractor_version(ext: Column, versions: dict[str, str]) -> Column:
 
 
 def is_prose(text: Column) -> Column:
-    """Strings worth keeping from a binary package: 4 to 5000 characters, a space and a letter, no identifier, few hyphens."""
-    identifier = text.rlike(r"^[A-Za-z0-9_.:/\-]+$") | text.rlike(r"^[A-Z][a-z]+(?:[A-Z][a-z]+)+$")
-    return F.length(text).between(4, 5000) & text.contains(" ") & text.rlike(r"\p{L}") & ~identifier & (F.regexp_count(text, F.lit("-")) < 4)
+    """Strings worth keeping from a binary package: 4 to 5000 characters, a space (names of types have none), a letter, few hyphens."""
+    return F.length(text).between(4, 5000) & text.contains(" ") & text.rlike(r"\p{L}") & (F.regexp_count(text, F.lit("-")) < 4)
 
 
 def without_tags(markup: Column) -> Column:

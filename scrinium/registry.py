@@ -13,6 +13,7 @@ from scrinium.operators import catalogue as C
 from scrinium.operators import evaluate as E
 from scrinium.operators import lexical as L
 from scrinium.operators import search as S
+from scrinium.sources.readers import VERSIONS
 from scrinium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,7 +175,7 @@ def word_counts(spark, folder):
 
 
 @query(r"""SELECT id, riga FROM (SELECT id, unnest(string_split(testo, chr(10))) AS riga FROM (SELECT DISTINCT id, testo FROM chunk WHERE testo IS NOT NULL)) WHERE length(riga) BETWEEN 4 AND 5000 AND contains(riga, ' ')
-AND regexp_matches(riga, '\p{L}') AND NOT regexp_matches(riga, '^[A-Za-z0-9_.:/\-]+$') AND NOT regexp_matches(riga, '^[A-Z][a-z]+([A-Z][a-z]+)+$') AND length(riga) - length(replace(riga, '-', '')) < 4""")
+AND regexp_matches(riga, '\p{L}') AND length(riga) - length(replace(riga, '-', '')) < 4""")
 def prose_filter(spark, folder):
     lines = table(spark, folder, "chunk").filter("testo IS NOT NULL").select("id", "testo").dropDuplicates(["id"]).select("id", F.explode(F.split("testo", "\n")).alias("riga"))
     return lines.filter(T.is_prose(F.col("riga")))
@@ -190,11 +191,11 @@ def html_texts(spark, folder):
     return table(spark, folder, "documents").filter(F.contains("text", F.lit("<"))).select("doc_id", T.html_text(F.col("text")).alias("testo"))
 
 
-@query(f"SELECT DISTINCT percorso, {NAME.format('percorso')} AS nome, {FOLDER.format('percorso')} AS cartella, {EXT} AS estensione, {SUFFIX} AS suffisso, CASE {SUFFIX} WHEN '.pdf' THEN '2' WHEN '.xml' THEN '2' ELSE '1' END AS versione FROM files WHERE percorso IS NOT NULL")
+@query(f"SELECT DISTINCT percorso, {NAME.format('percorso')} AS nome, {FOLDER.format('percorso')} AS cartella, {EXT} AS estensione, {SUFFIX} AS suffisso, CASE {SUFFIX} WHEN '.xml' THEN '2' ELSE '1' END AS versione FROM files WHERE percorso IS NOT NULL")
 def path_parts(spark, folder):
     p = F.col("percorso")
     rows = table(spark, folder, "files").filter("percorso IS NOT NULL").select("percorso").distinct()
-    return rows.select("percorso", T.basename(p).alias("nome"), T.dirname(p).alias("cartella"), T.path_extension(p).alias("estensione"), T.suffix(p).alias("suffisso"), T.extractor_version(T.suffix(p), {".pdf": "2", ".xml": "2"}).alias("versione"))
+    return rows.select("percorso", T.basename(p).alias("nome"), T.dirname(p).alias("cartella"), T.path_extension(p).alias("estensione"), T.suffix(p).alias("suffisso"), T.extractor_version(T.suffix(p), VERSIONS).alias("versione"))
 
 
 # ---------------------------------------------------------------- catalogue
