@@ -24,8 +24,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    # the length is bound once, not worked out anew for each component
+    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
+    return F.element_at(scaled, 1)
 
 
 @F.pandas_udf(ArrayType(FloatType()))

@@ -19,10 +19,14 @@ def relevant(ranking: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def metrics(ranking: DataFrame, cases: DataFrame, depth: int = DEPTH, by: list[str] | None = None) -> DataFrame:
-    """(q, primo, pertinenti, rumore, restituiti): first relevant place, and hits, noise and rows among the first ``depth``."""
+    """(q, primo, pertinenti, rumore, restituiti): first relevant place, and hits, noise and rows among the first ``depth``.
+
+    A ranking that has ``pertinente`` already is not matched with the cases again.
+    """
     keys = ["q", *(by or [])]
     near = F.col("posto") <= depth
-    return relevant(ranking, cases).groupBy(*keys).agg(F.min(F.when(F.col("pertinente"), F.col("posto"))).alias("primo"), F.count_if(near & F.col("pertinente")).alias("pertinenti"), F.count_if(near & ~F.col("pertinente")).alias("rumore"), F.count_if(near).alias("restituiti"))
+    marked = ranking if "pertinente" in ranking.columns else relevant(ranking, cases)
+    return marked.groupBy(*keys).agg(F.min(F.when(F.col("pertinente"), F.col("posto"))).alias("primo"), F.count_if(near & F.col("pertinente")).alias("pertinenti"), F.count_if(near & ~F.col("pertinente")).alias("rumore"), F.count_if(near).alias("restituiti"))
 
 
 def swept(scored: DataFrame, cases: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrinium.durable import durable
 from scrinium.functions import text as T
 from scrinium.functions.vectors import hashing_embedder, norm
 from scrinium.operators import catalogue as C
@@ -452,11 +453,10 @@ c AS (SELECT * FROM (SELECT *, max(s) OVER (PARTITION BY q, alfa, beta) AS m FRO
 r AS (SELECT *, {RELEVANT} AS p FROM (SELECT *, row_number() OVER (PARTITION BY q, alfa, beta ORDER BY s DESC, percorso) AS posto FROM c) JOIN cases USING (q)) SELECT q, alfa, beta, {_METRICS} FROM r GROUP BY q, alfa, beta""")
 def parameter_sweep(spark, folder):
     cases = table(spark, folder, "casi")
-    zero = _dense_files(spark, folder)
+    zero = durable(E.relevant(_dense_files(spark, folder), cases))
     gain = L.boosted(zero.withColumn("punteggio", F.lit(0.0)), L.file_frequency(_chunks(spark, folder), cases), cases, 1.0).select("q", "percorso", F.col("punteggio").alias("guadagno"))
-    spark_round = zero.join(gain, ["q", "percorso"], "left")
     grid = spark.createDataFrame([(a, b) for a in (1.0, 0.95, 0.9, 0.85) for b in (0.0, 0.05, 0.1)], "alfa double, beta double")
-    rows = spark_round.crossJoin(F.broadcast(grid)).withColumn("punteggio", F.round(F.col("punteggio") + F.col("beta") * F.coalesce("guadagno", F.lit(0.0)), 9))
+    rows = zero.join(gain, ["q", "percorso"], "left").crossJoin(F.broadcast(grid)).withColumn("punteggio", F.round(F.col("punteggio") + F.col("beta") * F.coalesce("guadagno", F.lit(0.0)), 9))
     return E.swept(rows, cases)
 
 
