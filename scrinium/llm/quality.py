@@ -18,9 +18,8 @@ SHORT = 40
 #: Thresholds that are tried for each figure.
 STEPS = 256
 
-_END = r"(?=[^\S\r\n]*+(?:[\r\n]|\z))"
 _LISTED = r"(?m)^(?:\t|[ ]*+(?:[-•*·▪◦‣–—→►]\s|\(?(?:\p{L}|\d{1,3}|[ivxIVX]{1,4})[.)]\s|\d+(?:\.\d+)+\.?\s)).*+(?<![.!?…])$"
-_COLUMNS = r'(?m)^(?:.*?(?:[|\t]|;(?=\S)|","| {3,}|</?\w+>|\.{4,}|=(?=\S)|,(?=[^\s\d]))){2}.*+$'
+_COLUMNS = r'(?m)^(?:.*?(?=[|\t;" <.=,])(?:[|\t]|;(?=\S)|","| {3,}|</?\w+>|\.{4,}|=(?=\S)|,(?=[^\s\d]))){2}.*+$'
 
 FIGURES = ["parole", "lunghezza_media", "quota_simboli", "quota_cifre", "quota_lettere", "quota_righe_punto", "quota_comuni", "frasi", "quota_elenco", "quota_tabella", "quota_corta", "quota_corrente", "lettere_correnti"]
 
@@ -73,8 +72,8 @@ def statistics(df: DataFrame, common: list[str], text: str = "text") -> DataFram
         size(without(t, r"[^\p{N}]+")).alias("digits"),
         size(without(t, r"[^\s]+")).alias("spaces"),
         count(t, r"[\p{L}\p{M}]++").alias("words"),
-        count(t, r"\S" + _END).alias("lines"),
-        count(t, r"[.!?…][\"'»)\]]?" + _END).alias("ended"),
+        count(t, r"(?m)^[^\S\r\n]*+\S").alias("lines"),
+        count(t, r"(?m)[.!?…][\"'»)\]]?[^\S\r\n]*+$").alias("ended"),
         count(F.col("_3"), r"[.!?…](?=[\s\"'»)]|\z)").alias("sentences"),
         (count(F.lower(t), r"(?<![\p{L}\p{M}])" + _trie(known) + r"(?![\p{L}\p{M}])") if known else F.lit(0.0)).alias("known"),
     )
