@@ -207,5 +207,5 @@ def pack_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", capacity
 
 
 def split_rows(packed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key) of what lies in more than one container, each once."""
-    return packed.groupBy(key).agg(F.countDistinct("contenitore").alias("c")).filter("c > 1").select(key)
+    """(key) of what was cut into pieces, which lie in containers of their own; each key once."""
+    return packed.groupBy(key).agg(F.max("pezzo").alias("p"), F.min("contenitore").alias("c")).filter("p > 0 AND c >= 0").select(key)
