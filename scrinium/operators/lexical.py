@@ -65,7 +65,7 @@ def best_files(scores: DataFrame, k: int | None = None) -> DataFrame:
     """(q, percorso, id, punteggio, posto): best document of each file; with ``k`` a top-k report, and zero scores are dropped after it."""
     w = Window.partitionBy("q", "percorso").orderBy(F.desc("punteggio"), "id")
     best = scores.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    best = best.withColumn("posto", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("punteggio"), "id")))
+    best = best.withColumn("posto", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("punteggio"), "id")).cast("long"))
     if k:
         best = best.filter(F.col("posto") <= k)
     return best.filter("punteggio > 0")

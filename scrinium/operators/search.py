@@ -96,7 +96,7 @@ def batch_search(index: DataFrame, queries: DataFrame, k: int = 10, vector: str
 
     # a stated query set against all rows, in blocks
     met = parts.crossJoin(blocks).select("qs", "xs").mapInArrow(work, "q long, id long, punteggio double")
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("punteggio"), "id"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("punteggio"), "id")).cast("long")
     return met.withColumn("posto", place).filter(F.col("posto") <= k)
 
 
@@ -143,4 +143,4 @@ def identifier_files(chunks: DataFrame, catalogue: DataFrame, query: str) -> Dat
 
 def ranked(rows: DataFrame, by: Column | str = "q", order: str = "id") -> DataFrame:
     """Rows with their 1-based place within ``by``."""
-    return rows.withColumn("posto", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("punteggio"), F.asc(order))))
+    return rows.withColumn("posto", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("punteggio"), F.asc(order))).cast("long"))
