@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrinium.functions.text import basename
+from scrinium.operators.search import ranked
 
 DEPTH = 8
 
@@ -35,7 +36,7 @@ def swept(scored: DataFrame, cases: DataFrame, depth: int = DEPTH) -> DataFrame:
     keys = ["q", "alfa", "beta"]
     top = scored.groupBy(*keys).agg(F.max("punteggio").alias("_m"))
     cut = scored.join(top, keys).filter((F.col("alfa") == 1) | (F.col("punteggio") >= F.col("_m") * F.col("alfa")))
-    placed = cut.withColumn("posto", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("punteggio"), "percorso")).cast("long"))
+    placed = ranked(cut, keys, "percorso")
     return metrics(placed.drop("_m"), cases, depth, ["alfa", "beta"])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrinium.functions.text import basename, words
+from scrinium.operators.search import ranked
 
 K1, B, RRF_K = 1.5, 0.75, 60
 BOOST_RARE = 0.05
@@ -65,9 +66,11 @@ def best_files(scores: DataFrame, k: int | None = None) -> DataFrame:
     """(q, percorso, id, punteggio, posto): best document of each file; with ``k`` a top-k report, and zero scores are dropped after it."""
     w = Window.partitionBy("q", "percorso").orderBy(F.desc("punteggio"), "id")
     best = scores.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    best = best.withColumn("posto", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("punteggio"), "id")).cast("long"))
     if k:
-        best = best.filter(F.col("posto") <= k)
+        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("punteggio"), "id")).cast("long")
+        best = best.withColumn("posto", place).filter(F.col("posto") <= k)
+    else:
+        best = ranked(best, ["q"])
     return best.filter("punteggio > 0")
 
 

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrinium.durable import durable
 from scrinium.functions.text import basename, dirname, snippet
 from scrinium.functions.vectors import dot
 
@@ -36,9 +37,14 @@ def relative_cut(rows: DataFrame, cut: float = CUT, by: list[str] | None = None)
 
 
 def collapsed(ranked: DataFrame, key: str, order: str = "id") -> DataFrame:
-    """One row for each copy key, the best; ``altre`` counts the others."""
+    """One row for each copy key, the best; ``altre`` counts the others.
+
+    The best row is found with a limit before the shuffle and the others are counted by partial sums, so a key with
+    very many rows is no hot task.
+    """
     w = Window.partitionBy(key).orderBy(F.desc("punteggio"), F.asc(order))
-    return ranked.withColumn("_r", F.row_number().over(w)).withColumn("altre", F.count("*").over(Window.partitionBy(key)) - 1).filter("_r = 1").drop("_r")
+    best = ranked.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return best.join(ranked.groupBy(key).agg((F.count("*") - 1).alias("altre")), key)
 
 
 def result_limit(n: object) -> int:
@@ -141,6 +147,16 @@ def identifier_files(chunks: DataFrame, catalogue: DataFrame, query: str) -> Dat
     return all_terms.crossJoin(F.broadcast(rare)).select("percorso")
 
 
-def ranked(rows: DataFrame, by: Column | str = "q", order: str = "id") -> DataFrame:
-    """Rows with their 1-based place within ``by``."""
-    return rows.withColumn("posto", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("punteggio"), F.asc(order))).cast("long"))
+def ranked(rows: DataFrame, by: list[str], order: str = "id") -> DataFrame:
+    """Rows with ``posto``, their 1-based place within ``by``, by score and then ``order``.
+
+    A ranking of any length is placed by all tasks: rows are spread by ranges of (by, score, order), numbered within
+    their range, and moved on by the number of rows in the ranges before, of which there are as many as partitions.
+    """
+    sort = [*[F.asc(c) for c in by], F.desc("punteggio"), F.asc(order)]
+    # written, since the range of a row must be the same for its two uses
+    spread = durable(rows.repartitionByRange(*sort).withColumn("_p", F.spark_partition_id()))
+    local = spread.withColumn("posto", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*sort[len(by) :])).cast("long"))
+    sizes = spread.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_b", F.sum("_n").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_n")).drop("_n")
+    return local.join(before, [*by, "_p"]).withColumn("posto", F.col("posto") + F.col("_b")).drop("_b", "_p")

@@ -408,7 +408,7 @@ df_ AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY punteggio DESC, id)
 DENSE = _DENSE.format(w=WORDS.format("testo"))
 
 
-def _dense_files(spark, folder):
+def _dense_files(spark, folder, k=None):
     """Ranking of files by the hashing embedder; queries are few and come as one broadcast array of vectors."""
     docs, cases = _lexical(spark, folder)
     embed = hashing_embedder(256)
@@ -416,13 +416,13 @@ def _dense_files(spark, folder):
     from scrinium.functions.vectors import dot
 
     scores = docs.select("id", "percorso", embed("testo").alias("e")).crossJoin(asked).select("q", "id", "percorso", F.round(dot(F.col("e"), F.col("v")), 9).alias("punteggio"))
-    return L.best_files(scores)
+    return L.best_files(scores, k)
 
 
 @query(f"WITH {BM25}, {DENSE} SELECT q, percorso, id, round(punteggio, 4) AS punteggio, posto FROM df_ WHERE posto <= 10 AND punteggio > 0")
 def text_search(spark, folder):
     """Text to ranking without a model: hashing embedder, dot product, best chunk of each file."""
-    return _dense_files(spark, folder).filter("posto <= 10").select("q", "percorso", "id", F.round("punteggio", 4).alias("punteggio"), "posto")
+    return _dense_files(spark, folder, 10).select("q", "percorso", "id", F.round("punteggio", 4).alias("punteggio"), "posto")
 
 
 @query(f"WITH {BM25}, {DENSE}, both_ AS (SELECT q, percorso, posto FROM bf WHERE punteggio > 0 UNION ALL SELECT q, percorso, posto FROM df_ WHERE punteggio > 0) SELECT q, percorso, round(sum(1 / (60 + posto)), 7) AS punteggio FROM both_ GROUP BY ALL")

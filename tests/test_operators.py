@@ -109,3 +109,16 @@ def test_text_hash_streams_in_order(spark):
 
     rows = spark.createDataFrame([(2, "/a", 1, "b"), (1, "/a", 0, "a"), (1, "/a", 0, "a"), (3, "/b", 0, None)], "id long, percorso string, n int, testo string")
     assert dict(C.text_hashes(rows).collect()) == {"/a": hashlib.sha256(b"ab").hexdigest(), "/b": hashlib.sha256(b"").hexdigest()}
+
+
+def test_places_are_those_of_one_sort(spark):
+    import random
+
+    rng = random.Random(0)
+    rows = [(f"q{rng.randint(0, 2)}", k, float(rng.randint(0, 20))) for k in range(2000)]
+    df = spark.createDataFrame(rows, "q string, id long, punteggio double").repartition(7)
+    got = {(r.q, r.id): r.posto for r in S.ranked(df, ["q"]).collect()}
+    for q in ("q0", "q1", "q2"):
+        order = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        assert [got[q, r[1]] for r in order] == list(range(1, len(order) + 1))
+    assert S.ranked(df.limit(0), ["q"]).count() == 0
