@@ -34,9 +34,12 @@ def plain(content: bytes) -> str:
     return content.decode("utf-8", "replace")
 
 
+_MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]+>", re.IGNORECASE | re.DOTALL)
+
+
 def markup_text(text: str) -> str:
-    bare = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", text)
-    return html.unescape(re.sub(r"(?s)<[^>]+>", " ", bare))
+    """Text without scripts, styles and tags, entities decoded."""
+    return html.unescape(_MARKUP.sub(" ", text))
 
 
 def web_page(content: bytes) -> str:
@@ -46,27 +49,30 @@ def web_page(content: bytes) -> str:
 def xml(content: bytes) -> str:
     """Text of all elements, a line each; malformed markup loses its tags."""
     try:
-        parts = (t.strip() for t in ET.fromstring(content).itertext())
-        return "\n".join(t for t in parts if t)
+        return "\n".join(filter(None, map(str.strip, ET.fromstring(content).itertext())))
     except ET.ParseError:
         return markup_text(plain(content))
 
 
 def mail(content: bytes) -> str:
-    """Headers, body (plain rather than marked up) and names of attachments."""
+    """Headers, body (plain rather than marked up; empty if damaged) and names of attachments."""
     message = email.message_from_bytes(content, policy=email.policy.default)
+    bodies: dict[str, str] = {}
+    names = []
+    for part in message.walk():
+        if part.is_multipart():
+            continue
+        if part.is_attachment() or part.get_filename():
+            names += [part.get_filename()] if part.get_filename() else []
+        elif part.get_content_type() in ("text/plain", "text/html"):
+            try:
+                bodies.setdefault(part.get_content_subtype(), part.get_content())
+            except (LookupError, ValueError, KeyError):
+                bodies.setdefault(part.get_content_subtype(), "")
+    text = bodies["plain"] if "plain" in bodies else markup_text(bodies.get("html", ""))
+    # The headers that are kept, and what stands before the names.
     lines = [f"{h}: {message[h]}" for h in ("From", "To", "Cc", "Subject", "Date") if message[h]]
-    body = ""
-    try:
-        part = message.get_body(preferencelist=("plain", "html"))
-        if part is not None:
-            body = part.get_content()
-            if part.get_content_type() == "text/html":
-                body = markup_text(body)
-    except (LookupError, ValueError, KeyError, UnicodeError):
-        body = ""
-    names = [n for a in message.iter_attachments() if (n := a.get_filename())] if message.is_multipart() else []
-    return "\n".join([*lines, body]) + (f"\nallegati: {', '.join(names)}" if names else "")
+    return "\n".join([*lines, text, *(["allegati: " + ", ".join(names)] if names else [])])
 
 
 def _local(tag: str) -> str:
