@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrinium.durable import durable
+
 # Letters of other scripts that look like Latin ones, in the order of their scripts.
 CYRILLIC = "АВЕЁЅІЇЈКМНОРСТУХаеёѕіїјорсухԁһԛԜԝ"
 CYRILLIC_AS_LATIN = "ABEËSIÏJKMHOPCTYXaeësiïjopcyxdhqWw"
@@ -116,6 +118,7 @@ def same_look_pairs(df: DataFrame, key: str = "id", text: str = "testo") -> Data
     """
     source = df.select(F.col(key).alias("id"), F.col(text).alias("testo")).filter(F.col("testo").isNotNull())
     hashed = canonical_form(source).select("id", F.unhex(F.sha2("forma", 256)).alias("f"), F.unhex(F.sha2("testo", 256)).alias("t")).distinct()
+    hashed = durable(hashed)  # it is read three times, and the forms are made once
     mixed = hashed.groupBy("f").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("f")
     rows = hashed.join(mixed, "f", "left_semi")
     a, b = rows.select("f", F.col("id").alias("id_a"), F.col("t").alias("t_a")), rows.select("f", F.col("id").alias("id_b"), F.col("t").alias("t_b"))
