@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrinium.durable import durable
+from scrinium.sampling import bounded_sample
 
 K = 5
 DIMENSION = 64
@@ -196,7 +197,7 @@ def nearest_vectors(df: DataFrame, key: str = "id", vector: str = "vettore", k:
     # one row for equal vectors; partial aggregation runs before the shuffle
     distinct = durable(vectors.groupBy("v").agg(F.min("id").alias("id"), F.max("id").alias("last")))
     total = distinct.count()
-    some = distinct.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow() if total else None
+    some = bounded_sample(distinct.select("id", "v"), "id", sample, total).toArrow() if total else None
     router = fit(_matrix(some.column("v"), dimension), total, target) if total else Router(np.zeros((dimension, 1), np.float32), np.zeros(1, np.float32))
     held = spark.sparkContext.broadcast(router)  # at most dimension x sample / LEARN weights
 
