@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrinium.durable import durable
+from scrinium.sampling import bounded_sample
 
 #: The rules are learned from at most so many labelled rows (a uniform sample by hash).
 LABELLED = 50_000
@@ -211,7 +212,8 @@ def case_sql(rules: list[Rule], names: list[str] = FIGURES) -> str:
 def labelled_rows(figures: DataFrame, labels: DataFrame, key: str = "doc_id", bound: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
     """Figures of labelled rows and whether they are not prose, by their readers' majority; undecided ones are left out."""
     verdict = labels.groupBy(key).agg(F.avg("prosa").alias("v")).filter("v <> 0.5")
-    rows = figures.join(verdict, key).dropDuplicates([key]).filter("parole IS NOT NULL").orderBy(F.xxhash64(key), key).limit(bound).select(*FIGURES, "v").toPandas()
+    judged = figures.join(verdict, key).dropDuplicates([key]).filter("parole IS NOT NULL")
+    rows = bounded_sample(judged, key, bound, labels.count()).select(*FIGURES, "v").toPandas()
     return rows[FIGURES].to_numpy(float), rows["v"].to_numpy(float) < 0.5
 
 
