@@ -35,6 +35,24 @@ def from_bytes(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
 
 
+def unit_from_bytes(dimension: int):
+    """Unit vectors of little-endian float32 bytes, a batch at once; null for null, another length, a zero or not finite vector."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def decode(blobs: pd.Series) -> pd.Series:
+        right = np.array([b is not None and len(b) == 4 * dimension for b in blobs], bool)
+        rows = np.frombuffer(b"".join(blobs[right]), "<f4").reshape(-1, dimension).astype(np.float64)
+        with np.errstate(all="ignore"):
+            length = np.sqrt((rows * rows).sum(1, keepdims=True))
+            rows = rows / length
+        out = np.full(len(blobs), None, object)
+        for k, row, n in zip(np.flatnonzero(right), rows, length[:, 0], strict=True):
+            out[k] = row if np.isfinite(n) and n > 0 else None
+        return pd.Series(out)
+
+    return decode
+
+
 @lru_cache(maxsize=500_000)
 def _bucket(word: str, size: int) -> int:
     return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % size

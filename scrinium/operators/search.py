@@ -154,8 +154,8 @@ def ranked(rows: DataFrame, by: list[str], order: str = "id") -> DataFrame:
     their range, and moved on by the number of rows in the ranges before, of which there are as many as partitions.
     """
     sort = [*[F.asc(c) for c in by], F.desc("punteggio"), F.asc(order)]
-    # written, since the range of a row must be the same for its two uses
-    spread = durable(rows.repartitionByRange(*sort).withColumn("_p", F.spark_partition_id()))
+    # written before, since finding the ranges reads it too, and after, since a row's range must be the same for its two uses
+    spread = durable(durable(rows).repartitionByRange(*sort).withColumn("_p", F.spark_partition_id()))
     local = spread.withColumn("posto", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*sort[len(by) :])).cast("long"))
     sizes = spread.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.sum("_n").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_n")).drop("_n")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scrinium.durable import durable
 from scrinium.functions import text as T
-from scrinium.functions.vectors import hashing_embedder, norm
+from scrinium.functions.vectors import dot, hashing_embedder, norm, unit_from_bytes
 from scrinium.operators import catalogue as C
 from scrinium.operators import evaluate as E
 from scrinium.operators import lexical as L
@@ -134,11 +134,7 @@ def vector_norms(spark, folder):
 @query()
 def dense_search_chunks(spark, folder):
     """The search over the chunk table itself, in batches: every id divisible by 100 against all rows."""
-    from scrinium.functions.vectors import from_bytes, unit
-
-    rows = table(spark, folder, "chunk").select("id", "vettore").filter(F.octet_length("vettore") == 256).dropDuplicates(["id"]).select("id", from_bytes(F.col("vettore")).alias("vettore"))
-    rows = rows.select("id", unit(F.col("vettore")).alias("vettore"))
-    rows = rows.filter(~F.exists("vettore", F.isnan) & (norm(F.col("vettore")) > 0))
+    rows = table(spark, folder, "chunk").select("id", "vettore").dropDuplicates(["id"]).select("id", unit_from_bytes(64)("vettore").alias("vettore"))
     return S.batch_search(rows, rows.filter("id % 100 = 0").select(F.col("id").alias("q"), "vettore"), 5)
 
 
@@ -413,8 +409,6 @@ def _dense_files(spark, folder, k=None):
     docs, cases = _lexical(spark, folder)
     embed = hashing_embedder(256)
     asked = F.broadcast(cases.filter("q IS NOT NULL").select("q").distinct().filter(F.size(T.words(F.col("q"))) > 0).withColumn("v", embed("q")))
-    from scrinium.functions.vectors import dot
-
     scores = docs.select("id", "percorso", embed("testo").alias("e")).crossJoin(asked).select("q", "id", "percorso", F.round(dot(F.col("e"), F.col("v")), 9).alias("punteggio"))
     return L.best_files(scores, k)
 

@@ -68,6 +68,9 @@ def test_vectors(spark):
     assert got[0].u == pytest.approx([0.6, 0.8])
     assert got[0].n == 5
     assert got[1].u is None and got[2].u is None
+    blobs += [struct.pack("<2f", 0, 0), struct.pack("<2f", float("nan"), 1), struct.pack("<2f", float("inf"), 1)]
+    units = run(spark, blobs, V.unit_from_bytes(2), "binary")
+    assert units[0] == pytest.approx([0.6, 0.8]) and units[1:] == [None] * 5
     assert run(spark, [[0.0, 0.0]], V.unit, "array<double>") == [[0.0, 0.0]]
     a, b, c = (r[0] for r in spark.createDataFrame([("Casa casa",), ("casa",), (None,)], "x string").select(V.hashing_embedder(16)("x")).collect())
     assert a == pytest.approx(b) and not any(c)
