@@ -33,8 +33,6 @@ def test_hard_texts(k, reference):
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=300))
 def test_any_text(text):
-    import tiktoken  # noqa: F401
-
     assert list(own.encode(text)) == own.plain.encode_ordinary(text)
 
 
