@@ -123,9 +123,3 @@ def run(
     label = F.when(F.col("azione") == C.UNCHANGED, "invariato").when(F.col("stato") == R.READ, F.when(F.col("copia"), "copia").otherwise("indicizzato")).otherwise(F.col("stato"))
     counts = state.groupBy(label.alias("azione")).agg(F.count("*").alias("file"))
     return kept(counts.unionByName(gone.select(F.lit("sparito").alias("azione")).groupBy("azione").agg(F.count("*").alias("file"))), "conteggi")
-
-
-def copies(files: DataFrame) -> DataFrame:
-    """(chiave, copie) for searches."""
-    return C.copies_per_text(files).select(F.col("impronta_testo").alias("chiave"), "copie")
-

@@ -222,7 +222,6 @@ def upsert_snapshot(spark, folder):
     return C.upsert(C.earliest(f), C.latest(f), ["percorso"]).select("percorso", "mtime", "dimensione")
 
 
-_RULES = "(SELECT unnest(estensioni_attive) FROM configurazione)"
 LISTED = f"""listed AS (SELECT DISTINCT percorso FROM files WHERE starts_with(percorso, '/archivio/') AND {SUFFIX} IN (SELECT '.' || lower(unnest(estensioni_attive)) FROM configurazione)
 AND NOT contains(percorso, '/.') AND NOT contains(regexp_replace(percorso, '[^/]*$', ''), '/bozze/') AND NOT starts_with(regexp_extract(percorso, '[^/]*$'), '~$') AND NOT ends_with(percorso, '.tmp'))"""
 
