@@ -5,7 +5,8 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,7 +163,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_token", capacity:
     A row of more than ``capacity`` is cut into full pieces and a rest; ``pezzo`` counts them and ``inizio`` is the
     first token of each.  Full pieces fill a container each.  All others go by the plan that ``plan`` makes of the
     counts by size, which is all that the driver gets (at most ``capacity`` rows).  Rows are ranked within their
-    size in ``SALT`` parts, so that a hot size isn't ranked by one task.  ``posto`` is the place in the container.
+    size in ``SALT`` parts, so that a hot size isn't ranked by one task, and find their place by a search in the plan.  ``posto`` is the place in the container.
     Rows of size 0 or null come out in container -1, which is empty; repeated keys are packed one by one.
     """
     spark = sizes.sparkSession
@@ -176,29 +177,33 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_token", capacity:
     by = pieces.filter("n > 0").groupBy("n", "h").agg(F.count("*").alias("c"))
     before = by.select("n", "h", (F.sum("c").over(Window.partitionBy("n").orderBy("h")) - F.col("c")).alias("before"))
     counts = {int(r.n): int(r.c) for r in by.groupBy("n").agg(F.sum("c").alias("c")).collect()}
-    columns = {"n": pa.int64(), "da": pa.int64(), "a_": pa.int64(), "contenitore": pa.int64(), "each": pa.int64(), "offset": pa.int64()}
-    made = plan(counts, capacity)
-    places = spark.createDataFrame(pa.table([pa.array([r[i] for r in made], t) for i, t in enumerate(columns.values())], names=list(columns)))
-    # the plan's rows of a size follow each other: a search among their starts finds the row, so the join has one match and no range condition
-    starts = places.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("da", "contenitore", "each", "offset"))).alias("rows"))
+    where = _places(spark.sparkContext.broadcast(np.array(plan(counts, capacity), np.int64).reshape(-1, 6)))
     ranked = pieces.filter("n > 0").withColumn("r", F.row_number().over(Window.partitionBy("n", "h").orderBy("k", "p", "a")) - 1)
-    ranked = ranked.join(before, ["n", "h"]).select("k", "p", "a", "n", (F.col("r") + F.col("before")).alias("r"))
-    found = ranked.join(F.broadcast(starts) if len(made) <= 50_000 else starts, "n").select("k", "p", "a", "n", "r", _last_start("rows", "r").alias("w"))
-    placed = found.select(
-        F.col("k").alias(key),
-        F.col("p").alias("pezzo"),
-        F.col("a").alias("inizio"),
-        F.col("n").alias("n_token"),
-        (F.col("w.contenitore") + F.floor((F.col("r") - F.col("w.da")) / F.col("w.each"))).alias("contenitore"),
-        (F.col("w.offset") + F.col("n") * ((F.col("r") - F.col("w.da")) % F.col("w.each"))).alias("posto"),
-    )
+    ranked = ranked.join(before, ["n", "h"]).select("k", "p", "a", "n", where("n", F.col("r") + F.col("before")).alias("w"))
+    placed = ranked.select(F.col("k").alias(key), F.col("p").alias("pezzo"), F.col("a").alias("inizio"), F.col("n").alias("n_token"), "w.contenitore", "w.posto")
     empty = pieces.filter("n = 0").select(F.col("k").alias(key), F.col("p").alias("pezzo"), F.col("a").alias("inizio"), F.col("n").alias("n_token"), F.lit(-1).cast("long").alias("contenitore"), F.lit(0).cast("long").alias("posto"))
     return placed.unionByName(empty)
 
 
-def _last_start(rows: str, rank: str):
-    """The last of the sorted ``rows`` that starts at or before ``rank``."""
-    return F.expr(f"element_at(filter({rows}, x -> x.da <= {rank}), -1)")
+def _places(held):
+    """Expression (size, number) -> (contenitore, posto) by a search in the plan, whose length depends on the sizes only."""
+
+    def find(sizes: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        rows = held.value
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        n, r = sizes.to_numpy(np.int64), numbers.to_numpy(np.int64)
+        first = np.searchsorted(rows[:, 0], n)
+        # within a size the starts ascend: the last one at or before the number, by bisection in all rows at once
+        low, high = first, np.searchsorted(rows[:, 0], n, side="right")
+        while (open_ := high - low > 1).any():
+            middle = (low + high) // 2
+            up = open_ & (rows[np.minimum(middle, len(rows) - 1), 1] <= r)
+            low, high = np.where(up, middle, low), np.where(open_ & ~up, middle, high)
+        own = rows[low]
+        k = r - own[:, 1]
+        return pd.DataFrame({"contenitore": own[:, 3] + k // own[:, 4], "posto": own[:, 5] + n * (k % own[:, 4])})
+
+    return F.pandas_udf(find, "contenitore long, posto long")
 
 
 def pack_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
