@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import time
 import uuid
 from collections.abc import Callable
@@ -53,6 +54,15 @@ class Store:
         return name
 
 
+    def prune(self, keep: int = 2) -> list[str]:
+        """Remove all but the last ``keep`` snapshots, which a reader may still use; returns what went."""
+        old = sorted(p.name for p in Path(self.folder).glob("s*-*") if p.is_dir() and p.name != self.current())
+        gone = old[: max(0, len(old) - keep + 1)]
+        for name in gone:
+            shutil.rmtree(Path(self.folder, name))
+        return gone
+
+
 def canonical(new: DataFrame, kept: DataFrame) -> DataFrame:
     """``new`` with ``gemello``: the path that holds the same text, a kept file with chunks or the first new path; null for that path itself."""
     holders = kept.filter("n_chunk > 0 AND impronta_testo <> ''").groupBy("impronta_testo").agg(F.min("percorso").alias("_k"))
@@ -122,4 +132,7 @@ def run(
     state = action.join(read.select("percorso", "stato"), "percorso", "left").join(new.select("percorso", F.col("gemello").isNotNull().alias("copia")), "percorso", "left")
     label = F.when(F.col("azione") == C.UNCHANGED, "invariato").when(F.col("stato") == R.READ, F.when(F.col("copia"), "copia").otherwise("indicizzato")).otherwise(F.col("stato"))
     counts = state.groupBy(label.alias("azione")).agg(F.count("*").alias("file"))
-    return kept(counts.unionByName(gone.select(F.lit("sparito").alias("azione")).groupBy("azione").agg(F.count("*").alias("file"))), "conteggi")
+    rows = counts.unionByName(gone.select(F.lit("sparito").alias("azione")).groupBy("azione").agg(F.count("*").alias("file"))).collect()  # one for each outcome
+    shutil.rmtree(work)
+    store.prune()
+    return spark.createDataFrame(rows, counts.schema)

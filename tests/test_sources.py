@@ -105,6 +105,8 @@ def test_incremental_pass_equals_rebuild(spark, tmp_path):
     fresh = Store(spark, str(tmp_path / "t"))
     run(fresh, now=5.0, **how)
     assert content(store) == content(fresh)
+    left = sorted(p.name for p in (tmp_path / "s").iterdir())
+    assert len([n for n in left if n.startswith("s")]) == 2 and not [n for n in left if n.startswith("lavoro")]
 
 
 def test_legacy_index(spark, tmp_path):
