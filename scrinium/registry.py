@@ -280,6 +280,13 @@ def orphans(spark, folder):
     return C.orphans(_catalogue(spark, folder))
 
 
+@query(f"WITH {CUR}, {LISTED}, here AS (SELECT * FROM cur WHERE percorso IN (SELECT percorso FROM listed)) SELECT percorso FROM here z WHERE n_chunk = 0 AND impronta_testo <> '' AND NOT EXISTS (SELECT 1 FROM here f WHERE f.n_chunk > 0 AND f.impronta_testo = z.impronta_testo)")
+def orphans_after_vanish(spark, folder):
+    """Copies that lose their text when the paths go that a scan no longer finds."""
+    files = _catalogue(spark, folder)
+    return C.orphans(files.join(C.vanished(files, _listed(spark, folder)), "percorso", "left_anti"))
+
+
 @query(f"WITH {CUR} SELECT a.percorso, min(b.percorso) AS gemello FROM cur a JOIN cur b ON a.impronta_testo = b.impronta_testo AND a.percorso <> b.percorso WHERE a.impronta_testo <> '' AND b.n_chunk > 0 GROUP BY a.percorso")
 def twins(spark, folder):
     return C.twins(_catalogue(spark, folder))
@@ -360,9 +367,9 @@ def identifier_gate(spark, folder):
     return S.identifier_gate(_chunks(spark, folder), _catalogue(spark, folder), TERMS)
 
 
-@query(f"WITH {CUR}, {CH}, {HITS.format(['tresmasti'])} SELECT percorso FROM hits WHERE (SELECT count(*) FROM hits) BETWEEN 1 AND {_LIMIT}")
+@query(f"WITH {CUR}, {CH}, {HITS.format(['0000010'])} SELECT percorso FROM hits WHERE (SELECT count(*) FROM hits) BETWEEN 1 AND {_LIMIT}")
 def identifier_search(spark, folder):
-    return S.identifier_files(_chunks(spark, folder), _catalogue(spark, folder), "Tresmasti")
+    return S.identifier_files(_chunks(spark, folder), _catalogue(spark, folder), "0000010")
 
 
 # ---------------------------------------------------------------- words
