@@ -63,11 +63,27 @@ class Codec:
             a, b = m.span()
             if b - a < UNSPLIT // 4:
                 continue
-            parts += [self._stretch(text[done:a]), self.by_halves(text[a:b].encode("utf-8", "replace"))]
+            parts += [*(self._stretch(x) for x in self.apart(text, done, a)), self.by_halves(text[a:b].encode("utf-8", "replace"))]
             done = b
         parts.append(self._stretch(text[done:]))
         return np.concatenate(parts)
 
+    def apart(self, text: str, done: int, end: int) -> list[str]:
+        """What stands in ``text`` between two pre-tokens' ends ``done`` and ``end``, in pieces that encode independently.
+
+        White space before ``end`` would be taken for the end of the text, so its pre-tokens, as the whole text has them,
+        are each a piece.
+        """
+        last = done + len(text[done:end].rstrip())
+        pieces, at = [], done
+        for m in self.words.finditer(text, max(done, last - 1)):
+            if m.start() >= end:
+                break
+            if m.start() >= last:
+                pieces.append(text[at : m.start()])
+                at = m.start()
+        return [p for p in (*pieces, text[at:end]) if p]
+
     def _stretch(self, text: str) -> np.ndarray:
         return np.asarray(self.plain.encode_ordinary(text), np.int32)
 
@@ -156,8 +172,8 @@ def parts(own: Codec, text: str, size: int = SEGMENT, unsplit: int = UNSPLIT_PAR
         for m in own.words.finditer(segment) if own.runs.search(segment) else ():
             a, b = m.span()
             if b - a >= UNSPLIT // 4:
-                if a > done:
-                    yield segment[done:a].encode(), 0
+                for between in own.apart(segment, done, a):
+                    yield between.encode(), 0
                 piece = segment[a:b].encode()
                 for k in range(0, len(piece), unsplit):
                     yield piece[k : k + unsplit], 2 if k else 1

@@ -55,3 +55,13 @@ def test_table(spark, reference):
         assert got == {k: reference(t or "") for k, t in enumerate(texts)}
     assert K.encode_corpus(df.limit(0)).count() == 0
     assert K.encode_corpus(df).schema.simpleString() == "struct<doc_id:bigint,ids:array<int>>"
+
+
+@pytest.mark.parametrize("gap", ["\n\n", "\n\n\n ", "\u00a0\u00a0", " \n", "  ", " "])
+def test_white_space_before_a_long_run(gap, reference):
+    for text in (f"foo{gap}" + "x" * 1100, f"{gap}" + "x" * 1100 + f"{gap}" + "7" * 1100 + f"!{gap}", "y" * 1100 + gap + "z" * 5000 + gap):
+        want = reference(text)
+        assert list(own.text(text)) == want
+        parts = list(K.parts(own, text, 5000, 700))
+        assert b"".join(b for b, _ in parts).decode() == text
+        assert list(K.join_parts(own, [own.by_halves(b) if how else own.encode(b.decode()) for b, how in parts], [h for _, h in parts])) == want
