@@ -185,7 +185,7 @@ def strip_tags(spark, folder):
 
 @query()
 def html_texts(spark, folder):
-    return table(spark, folder, "documents").filter(F.contains("text", F.lit("<"))).select("doc_id", T.html_text(F.col("text")).alias("testo"))
+    return table(spark, folder, "documents").select("doc_id", T.html_text(F.col("text")).alias("testo"))
 
 
 @query(f"SELECT DISTINCT percorso, {NAME.format('percorso')} AS nome, {FOLDER.format('percorso')} AS cartella, {EXT} AS estensione, {SUFFIX} AS suffisso, CASE {SUFFIX} WHEN '.xml' THEN '2' ELSE '1' END AS versione FROM files WHERE percorso IS NOT NULL")

@@ -33,3 +33,10 @@ def test_search_of_chunks_equals_brute_force(spark, small):
     for q in [k for k in rows if k % 100 == 0]:
         near = sorted((k for k in rows if k != q), key=lambda k: -float(rows[k] @ rows[q]))[:5]
         assert got[q] == set(near)
+
+
+def test_html_texts_of_documents_without_tags(spark, tmp_path):
+    rows = [(1, "<p>a&amp;b</p>"), (2, "a&amp;b"), (3, "a b"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.testo for r in registry.queries()["html_texts"](spark, str(tmp_path)).collect()}
+    assert got == {1: " a&b ", 2: "a&b", 3: "a b", 4: None}
