@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -17,13 +17,12 @@ from pyspark.sql import types as T
 #: Where the vocabulary files lie, and which one is used.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
-#: Longest stretch of one text that one call encodes, in characters; longer texts are cut where pre-tokens end.
-SEGMENT = 100_000
-#: An unsplit stretch (one pre-token) over so many bytes is encoded by halves.
-UNSPLIT = 4096
-#: A text over so many characters is encoded in parallel, an unsplit stretch of it in parts of so many bytes.
-APART = 1_000_000
-UNSPLIT_PART = 262_144
+#: A longer text is encoded by halves until no part is longer, in characters; an unsplit stretch (one pre-token), in bytes.
+LEAF = 4096
+#: Tokens on each side of a join that are encoded anew at first.
+REACH = 4
+#: The parts of a text over so many characters are encoded by several threads of its worker.
+THREADED, THREADS = 1_000_000, 4
 # Fixed value: how the public tokenizer cuts text before merging bytes.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -39,33 +38,81 @@ class Codec:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
         self.plain = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.words = regex.compile(PATTERN)
-        self.runs = regex.compile(r"\p{L}{%d,}|\p{N}{%d,}|[^\s\p{L}\p{N}]{%d,}|\s{%d,}" % ((UNSPLIT // 4,) * 4))
+        self.runs = regex.compile(r"\p{L}{%d,}|\p{N}{%d,}|[^\s\p{L}\p{N}]{%d,}|\s{%d,}" % ((LEAF // 4,) * 4))
         self.bytes = {v: k for k, v in ranks.items()}
+        # a space before another character always begins a pre-token, whatever stands around it
+        self.begins = np.zeros(max(ranks.values(), default=0) + 1, bool)
+        for token, rank in ranks.items():
+            self.begins[rank] = len(token) > 1 and token[0] == 32 and 33 <= token[1] <= 126
         self._fits: dict[tuple[int, int], bool] = {}
 
     def encode(self, text: str) -> np.ndarray:
+        """Ids of a text without long unsplit stretches, at once."""
+        return np.asarray(self.plain.encode_to_numpy(text, allowed_special=set(), disallowed_special=()), np.int32) if text else np.empty(0, np.int32)
+
+    def text(self, text: str | None) -> np.ndarray:
+        """Ids of a text of any length, which may be null."""
         if not text:
             return np.empty(0, np.int32)
-        if len(text) * 4 > UNSPLIT and self.runs.search(text):
+        if len(text) * 4 > LEAF and self.runs.search(text):
             return self._with_runs(text)
-        return np.asarray(self.plain.encode_to_numpy(text, allowed_special=set(), disallowed_special=()), np.int32)
+        return self.tree(text)
+
+    def _leaves(self, parts: list[str], whole: int) -> list[np.ndarray]:
+        if whole <= THREADED:
+            return [self.encode(p) for p in parts]
+        return [np.asarray(x, np.int32) for x in self.plain.encode_ordinary_batch(parts, num_threads=THREADS)]
+
+    def tree(self, text: str, leaf: int = LEAF) -> np.ndarray:
+        """Ids by tree concatenation: those of equal parts, neighbours joined two by two until one is left."""
+        return self._joined(text, leaf, self.concatenated)
+
+    def by_halves(self, piece: str, leaf: int = LEAF // 4) -> np.ndarray:
+        """The same for one pre-token, of which every part is one too."""
+        return self._joined(piece, leaf, self.join)
+
+    def _joined(self, text: str, leaf: int, join: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        count = 1
+        while count * leaf < len(text):
+            count *= 2
+        if count == 1:
+            return self.encode(text)
+        at = [len(text) * k // count for k in range(count + 1)]
+        level = self._leaves([text[a:b] for a, b in zip(at, at[1:], strict=False)], len(text))
+        while len(level) > 1:
+            level = [join(level[k], level[k + 1]) for k in range(0, len(level), 2)]
+        return level[0]
 
-    def text(self, text: str | None) -> np.ndarray:
-        """Ids of a text of any length, which may be null."""
-        if not text or len(text) <= SEGMENT:
-            return self.encode(text or "")
-        return np.concatenate([self.encode(s) for s in segments(text)])
+    def concatenated(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ids of the concatenation of two encoded texts.
+
+        A window around the join is encoded anew.  It grows until it begins and ends where a pre-token surely begins (or
+        at an end of a text) and its encoding has the first token there of the left text and the last one of the right:
+        what is outside then encodes as it did, since a pre-token depends on what follows its start only.
+        """
+        reach = REACH
+        while True:
+            starts = np.flatnonzero(self.begins[left[max(0, len(left) - 8 * reach) : max(0, len(left) - reach)]])
+            ends = np.flatnonzero(self.begins[right[reach : 8 * reach]])
+            a = int(starts[-1]) + max(0, len(left) - 8 * reach) if len(starts) else 0
+            b = int(ends[0]) + reach if len(ends) else len(right)
+            far = 8 * reach >= max(len(left), len(right))
+            if far or ((len(starts) or a + 8 * reach >= len(left)) and (len(ends) or 8 * reach >= len(right))):
+                inner = self.encode(b"".join(self.bytes[int(t)] for t in (*left[a:], *right[:b])).decode())
+                if far or ((not a or inner[0] == left[a]) and (b == len(right) or inner[-1] == right[b - 1])):
+                    return np.concatenate([left[:a], inner, right[b:]])
+            reach *= 2
 
     def _with_runs(self, text: str) -> np.ndarray:
-        """Text that holds a long unsplit stretch: such pre-tokens by halves, what lies between them at once."""
+        """Text that holds a long unsplit stretch: such pre-tokens by halves of their own, what lies between them as texts."""
         parts, done = [], 0
         for m in self.words.finditer(text):
             a, b = m.span()
-            if b - a < UNSPLIT // 4:
+            if b - a < LEAF // 4:
                 continue
-            parts += [*(self._stretch(x) for x in self.apart(text, done, a)), self.by_halves(text[a:b].encode("utf-8", "replace"))]
+            parts += [*(self.tree(x) for x in self.apart(text, done, a)), self.by_halves(text[a:b])]
             done = b
-        parts.append(self._stretch(text[done:]))
+        parts.append(self.tree(text[done:]))
         return np.concatenate(parts)
 
     def apart(self, text: str, done: int, end: int) -> list[str]:
@@ -84,19 +131,9 @@ class Codec:
                 at = m.start()
         return [p for p in (*pieces, text[at:end]) if p]
 
-    def _stretch(self, text: str) -> np.ndarray:
-        return np.asarray(self.plain.encode_ordinary(text), np.int32)
-
     def _merge(self, piece: bytes) -> list[int]:
         return self.plain._encode_single_piece(piece)
 
-    def by_halves(self, piece: bytes) -> np.ndarray:
-        """Ids of one pre-token: its halves' ids, joined (tree concatenation)."""
-        if len(piece) <= UNSPLIT:
-            return np.asarray(self._merge(piece), np.int32)
-        middle = len(piece) // 2
-        return self.join(self.by_halves(piece[:middle]), self.by_halves(piece[middle:]))
-
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of the concatenation of two encoded byte strings of one pre-token.
 
@@ -104,7 +141,7 @@ class Codec:
         sequence of tokens is the encoding of its bytes exactly when each two neighbours are the encoding of theirs,
         so agreement of the two outer pairs proves the whole.
         """
-        reach = 4
+        reach = REACH
         while True:
             a, b = max(0, len(left) - reach), min(len(right), reach)
             inner = np.asarray(self._merge(b"".join(self.bytes[int(t)] for t in (*left[a:], *right[:b]))), np.int32)
@@ -125,24 +162,6 @@ def codec(folder: str, name: str) -> Codec:
     return Codec(folder, name)
 
 
-def segments(text: str, size: int = SEGMENT) -> list[str]:
-    """``text`` in pieces of about ``size`` characters that encode independently.
-
-    A single space between two other non-space characters always begins a pre-token, so the text is cut there
-    only; an unsplit stretch without one stays whole, and ``by_halves`` takes it.
-    """
-    out, a = [], 0
-    while len(text) - a > size:
-        k = a + size
-        while 0 < (k := text.find(" ", k)) < len(text) - 1 and (text[k - 1].isspace() or text[k + 1].isspace()):
-            k += 1
-        if not a < k < len(text) - 1:
-            break
-        out.append(text[a:k])
-        a = k
-    return [*out, text[a:]]
-
-
 def _lists(found: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(found) + 1, np.int32)
     np.cumsum([len(x) for x in found], out=offsets[1:])
@@ -161,90 +180,30 @@ def _slices(batch: pa.RecordBatch, column: int, chars: int = 4_000_000) -> Itera
     yield batch.slice(a)
 
 
-def parts(own: Codec, text: str, size: int = SEGMENT, unsplit: int = UNSPLIT_PART) -> Iterator[tuple[bytes, int]]:
-    """What ``text`` is made of for encoding in parallel: (bytes, how).
-
-    how 0: encodes by itself; 1: the start of a long pre-token; 2: more of the pre-token, to be joined to what is
-    before it.
-    """
-    for segment in segments(text, size):
-        done = 0
-        for m in own.words.finditer(segment) if own.runs.search(segment) else ():
-            a, b = m.span()
-            if b - a >= UNSPLIT // 4:
-                for between in own.apart(segment, done, a):
-                    yield between.encode(), 0
-                piece = segment[a:b].encode()
-                for k in range(0, len(piece), unsplit):
-                    yield piece[k : k + unsplit], 2 if k else 1
-                done = b
-        if done < len(segment):
-            yield segment[done:].encode(), 0
-
-
-def join_parts(own: Codec, found: list[np.ndarray], how: list[int]) -> np.ndarray:
-    """Ids of a text from its parts' ids: parts of one pre-token are joined two by two until one is left, then all follow each other."""
-    out, k = [], 0
-    while k < len(found):
-        end = k + 1
-        while end < len(found) and how[end] == 2:
-            end += 1
-        level = found[k:end]
-        while len(level) > 1:
-            level = [own.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        out += level
-        k = end
-    return np.concatenate(out) if out else np.empty(0, np.int32)
-
-
-def _encoded_apart(rows: DataFrame, schema: T.StructType, folder: str, vocabulary: str) -> DataFrame:
-    """Very long texts: cut in one pass, their parts spread over all executors, encoded, and joined by text."""
-    kind = rows.schema["k"].dataType
-    cut = T.StructType([T.StructField("r", T.LongType()), T.StructField("k", kind), T.StructField("p", T.IntegerType()), T.StructField("how", T.IntegerType()), T.StructField("b", T.BinaryType())])
-    coded = T.StructType([*cut.fields[:4], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-
-    def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(folder, vocabulary)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                for p, (b, how) in enumerate(parts(own, batch.column(2)[i].as_py())):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([p], pa.int32()), pa.array([how], pa.int32()), pa.array([b], pa.binary())], names=cut.names)
+def _encoded(df: DataFrame, key: str, text: str, folder: str, vocabulary: str, name: str, kind: T.DataType, made: Callable[[list[np.ndarray]], pa.Array]) -> DataFrame:
+    """One pass over the rows without a shuffle: the key, and what ``made`` makes of a batch's ids."""
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    schema = T.StructType([T.StructField(key, rows.schema["k"].dataType), T.StructField(name, kind)])
 
-    def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(folder, vocabulary)
-        for batch in batches:
-            found = [own.by_halves(b) if how else own.encode(b.decode()) for b, how in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], _lists(found)], names=coded.names)
-
-    def to_text(group: pa.Table) -> pa.Table:
-        group = group.sort_by("p")
-        found = [np.asarray(x.values, np.int32) for x in group.column("ids")]
-        return pa.table({schema.names[0]: group.column("k").slice(0, 1), "ids": _lists([join_parts(codec(folder, vocabulary), found, group.column("how").to_pylist())])})
+        for whole in batches:
+            for batch in _slices(whole, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0), made([own.text(x) for x in batch.column(1).to_pylist()])], names=[key, name])
 
-    spread = rows.select(F.monotonically_increasing_id().alias("r"), "k", "t").mapInArrow(to_parts, cut).repartition("r", "p")
-    return spread.mapInArrow(to_ids, coded).groupBy("r").applyInArrow(to_text, schema)
+    return rows.mapInArrow(work, schema)
 
 
-def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, apart: int = APART) -> DataFrame:
+def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids): each row's token ids, as the public tokenizer gives them for the whole text.
 
-    Texts up to ``apart`` characters: one pass without a shuffle.  Longer ones are cut where that provably changes
-    nothing, else inside an unsplit stretch; their parts are encoded in parallel and joined exactly (``Codec.join``).
-    Null and empty text: empty list; repeated rows stay repeated; other columns are not read.
+    One pass without a shuffle.  A text over ``LEAF`` characters is encoded in parts, which are joined exactly two by two
+    (``Codec.concatenated``), inside an unsplit stretch too (``Codec.join``).  ``folder`` must lie at the same place on
+    every executor.  Null and empty text: empty list; repeated rows stay repeated; other columns are not read.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    schema = T.StructType([T.StructField(key, rows.schema["k"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(folder, vocabulary)
-        for whole in batches:
-            for batch in _slices(whole, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists([own.text(x) for x in batch.column(1).to_pylist()])], names=[key, "ids"])
-
-    long = F.coalesce(F.length("t"), F.lit(0)) > apart
-    return rows.filter(~long).mapInArrow(work, schema).unionByName(_encoded_apart(rows.filter(long), schema, folder, vocabulary))
+    return _encoded(df, key, text, folder, vocabulary, "ids", T.ArrayType(T.IntegerType()), _lists)
 
 
-def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, apart: int = APART) -> DataFrame:
-    """(key, n_token): the number of token ids of each row's text; 0 for null and empty text."""
-    return encode_corpus(df, key, text, folder, vocabulary, apart).select(key, F.size("ids").cast("long").alias("n_token"))
+def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, n_token): the number of token ids of each row's text; 0 for null and empty text.  Ids don't leave Python."""
+    return _encoded(df, key, text, folder, vocabulary, "n_token", T.LongType(), lambda found: pa.array([len(x) for x in found], pa.int64()))

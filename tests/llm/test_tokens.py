@@ -25,15 +25,26 @@ HARD = ["", " ", "a", "<|endoftext|> x", "l'x  y\t\tz \n\n ", "x" * 9000, " " *
 def test_hard_texts(k, reference):
     want = reference(HARD[k])
     assert list(own.text(HARD[k])) == want
-    parts = list(K.parts(own, HARD[k], 5000, 700))
-    assert b"".join(b for b, _ in parts).decode() == HARD[k]
-    assert list(K.join_parts(own, [own.by_halves(b) if how else own.encode(b.decode()) for b, how in parts], [h for _, h in parts])) == want
+    assert list(own.tree(HARD[k], 700)) == want or own.runs.search(HARD[k])
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=300))
 def test_any_text(text):
-    assert list(own.encode(text)) == own.plain.encode_ordinary(text)
+    assert list(own.text(text)) == own.plain.encode_ordinary(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=300), st.text(alphabet="ab' \n\t1\u00a0àlre.s", max_size=300), st.text(alphabet="日本。a ", max_size=300)), st.integers(1, 40))
+def test_tree_is_exact_wherever_it_cuts(text, leaf):
+    assert list(own.tree(text, leaf)) == own.plain.encode_ordinary(text)
+
+
+def test_leaves_by_threads(monkeypatch):
+    monkeypatch.setattr(K, "THREADED", 1000)
+    text = "Il contratto, l'art. 12 e la parola. \n" * 900
+    assert list(own.text(text)) == own.plain.encode_ordinary(text)
+    assert list(own.text("x" * 20_000)) == own.plain.encode_ordinary("x" * 20_000)
 
 
 @settings(max_examples=100, deadline=None)
@@ -50,9 +61,9 @@ def test_join_is_exact(text, data):
 def test_table(spark, reference):
     texts = [None, "", "ciao a tutti", "ciao a tutti", "z" * 6000 + " fine " * 900]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, ids string")
-    for apart in (1_000_000, 3000):
-        got = {r.doc_id: r.ids for r in K.encode_corpus(df, apart=apart).collect()}
-        assert got == {k: reference(t or "") for k, t in enumerate(texts)}
+    got = {r.doc_id: r.ids for r in K.encode_corpus(df).collect()}
+    assert got == {k: reference(t or "") for k, t in enumerate(texts)}
+    assert {r.doc_id: r.n_token for r in K.token_counts(df).collect()} == {k: len(v) for k, v in got.items()}
     assert K.encode_corpus(df.limit(0)).count() == 0
     assert K.encode_corpus(df).schema.simpleString() == "struct<doc_id:bigint,ids:array<int>>"
 
@@ -60,8 +71,4 @@ def test_table(spark, reference):
 @pytest.mark.parametrize("gap", ["\n\n", "\n\n\n ", "\u00a0\u00a0", " \n", "  ", " "])
 def test_white_space_before_a_long_run(gap, reference):
     for text in (f"foo{gap}" + "x" * 1100, f"{gap}" + "x" * 1100 + f"{gap}" + "7" * 1100 + f"!{gap}", "y" * 1100 + gap + "z" * 5000 + gap):
-        want = reference(text)
-        assert list(own.text(text)) == want
-        parts = list(K.parts(own, text, 5000, 700))
-        assert b"".join(b for b, _ in parts).decode() == text
-        assert list(K.join_parts(own, [own.by_halves(b) if how else own.encode(b.decode()) for b, how in parts], [h for _, h in parts])) == want
+        assert list(own.text(text)) == reference(text)
