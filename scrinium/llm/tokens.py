@@ -54,7 +54,9 @@ class Codec:
         """Ids of a text of any length, which may be null."""
         if not text:
             return np.empty(0, np.int32)
-        if len(text) * 4 > LEAF and self.runs.search(text):
+        # a stretch so long covers a whole block of half its length, without a space or of white space only
+        half = LEAF // 8
+        if any(text.find(" ", k, k + half) < 0 or text[k : k + half].isspace() for k in range(0, len(text) - half + 1, half)) and self.runs.search(text):
             return self._with_runs(text)
         return self.tree(text)
 
