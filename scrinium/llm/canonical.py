@@ -12,11 +12,14 @@ from pyspark.sql import types as T
 
 from scrinium.durable import durable
 
-# Letters of other scripts that look like Latin ones, in the order of their scripts.
-CYRILLIC = "АВЕЁЅІЇЈКМНОРСТУХаеёѕіїјорсухԁһԛԜԝ"
-CYRILLIC_AS_LATIN = "ABEËSIÏJKMHOPCTYXaeësiïjopcyxdhqWw"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΪΫνοόΆΈΉΊΌΎ"
-GREEK_AS_LATIN = "ABEZHIKMNOPTYXÏŸvoóÁÉHÍÓÝ"
+#: Letters of other scripts that look like Latin ones in upright type, and these: a choice made here.  Letters that only
+#: resemble one (α, ι, к, т) are none.
+LOOKALIKES = {
+    "Cyrillic": ("АВЕЁЅІЇЈКМНОРСТУХаеёѕіїјорсухԁһԛԜԝԌӀӏҮүѴѵ", "ABEËSIÏJKMHOPCTYXaeësiïjopcyxdhqWwGIlYyVv"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΪΫΆΈΉΊΌΎϹνοόρϲϳ", "ABEZHIKMNOPTYXÏŸÁÉHÍÓÝCvoópcj"),
+    "Armenian": ("ՍՏՕԼսոհօցզյ", "USOLunhogqj"),
+    "Cherokee": ("ᎪᎬᎠᏴᏟᎡᏀᎻᎫᏦᏞᎷᏢᎢᏙᎳᎩᏃᏚ", "AEDBCRGHJKLMPTVWYZS"),
+}
 #: Signs for joined letters, and what they join.
 JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij", "Ǆ": "DŽ", "ǅ": "Dž", "ǆ": "dž", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj"}
 #: Short hyphens; dashes of another length look different and stay.
@@ -26,7 +29,7 @@ INVISIBLE = r"\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\
 _EMOJI = r"[\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}]"
 
 
-def _widths() -> tuple[str, str]:
+def widths() -> tuple[str, str]:
     """Characters that differ from another one only in width, and that one; the pairs are in the character database."""
     a, b = [], []
     for k in [0x3000, *range(0xFF01, 0xFFEF)]:
@@ -37,7 +40,7 @@ def _widths() -> tuple[str, str]:
     return "".join(a), "".join(b)
 
 
-def _spaces() -> str:
+def spaces() -> str:
     """Every space of the character database."""
     return "".join(chr(k) for k in range(0x80, 0x10000) if unicodedata.category(chr(k)) == "Zs" and k != 0x3000)
 
@@ -54,11 +57,11 @@ def canonical_sql(column: str, source: str = "lotto") -> str:
     between two pictographs stays, since it changes the picture), joined letters, then ``nfc_normalize``.  Last, a
     word that has letters only its own script has, and none that only Latin has, goes back to that script as a whole.
     """
-    wide, narrow = _widths()
-    spaces = _spaces()
+    wide, narrow = widths()
+    blanks = spaces()
     hyphens = HYPHENS.replace("\u00ad", "")
     pairs: dict[str, str] = {}
-    for a, b in ((wide, narrow), (spaces, " " * len(spaces)), (hyphens, "-" * len(hyphens)), (CYRILLIC, CYRILLIC_AS_LATIN), (GREEK, GREEK_AS_LATIN)):
+    for a, b in ((wide, narrow), (blanks, " " * len(blanks)), (hyphens, "-" * len(hyphens)), *LOOKALIKES.values()):
         pairs |= dict(zip(a, b, strict=True))
     text = f"replace(replace({column}, chr(173) || chr(10), '-' || chr(10)), chr(173) || chr(13), '-' || chr(13))"
     text = f"CASE WHEN contains({column}, chr(173)) THEN {text} ELSE {column} END"
@@ -69,13 +72,13 @@ def canonical_sql(column: str, source: str = "lotto") -> str:
     for sign, letters in JOINED.items():
         apart = f"replace({apart}, {_quoted(sign)}, {_quoted(letters)})"
     apart = f"CASE WHEN regexp_matches(t, '[{''.join(JOINED)}]') THEN {apart} ELSE t END"
-    back = {}
-    for script, own, latin in (("Cyrillic", CYRILLIC, CYRILLIC_AS_LATIN), ("Greek", GREEK, GREEK_AS_LATIN)):
+    cases = ""
+    for script, (own, latin) in LOOKALIKES.items():
         here = dict(reversed(list(zip(latin, own, strict=True))))
-        back[script] = f"translate(w, {_quoted(''.join(here))}, {_quoted(''.join(here.values()))})"
-    only_latin = "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if c not in CYRILLIC_AS_LATIN + GREEK_AS_LATIN)
-    home = "array_to_string(list_transform(regexp_extract_all(t, '[\\p{L}\\p{M}]+|[^\\p{L}\\p{M}]+'), lambda w: CASE" + "".join(f" WHEN regexp_matches(w, '\\p{{{script}}}') AND NOT regexp_matches(w, '[{only_latin}]') THEN {how}" for script, how in back.items()) + " ELSE w END), '')"
-    home = f"CASE WHEN regexp_matches(t, '[\\p{{Cyrillic}}\\p{{Greek}}]') THEN {home} ELSE t END"
+        foreign = "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if c not in latin)
+        cases += f" WHEN regexp_matches(w, '\\p{{{script}}}') AND NOT regexp_matches(w, '[{foreign}]') THEN translate(w, {_quoted(''.join(here))}, {_quoted(''.join(here.values()))})"
+    home = f"array_to_string(list_transform(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: CASE{cases} ELSE w END), '')"
+    home = f"CASE WHEN regexp_matches(t, '[{''.join(f'\\p{{{s}}}' for s in LOOKALIKES)}]') THEN {home} ELSE t END"
     sql = f"SELECT *, {text} AS t FROM {source}"
     for step in (visible, apart, "nfc_normalize(t)", home, "nfc_normalize(t)"):
         sql = f"SELECT * REPLACE ({step} AS t) FROM ({sql})"
@@ -109,16 +112,30 @@ def canonical_form(df: DataFrame, text: str = "testo", out: str = "forma") -> Da
     return df.mapInArrow(work, schema)
 
 
-def same_look_pairs(df: DataFrame, key: str = "id", text: str = "testo") -> DataFrame:
-    """Pairs (id_a, id_b), id_a < id_b, of rows whose texts differ in characters and look the same.
+def look_classes(df: DataFrame, key: str = "id", text: str = "testo") -> DataFrame:
+    """(id, classe, variante): the smallest id whose text looks the same, and the smallest one whose text is the same.
 
-    Only hashes of form and text (SHA-256) are shuffled, never texts; groups in which all texts are equal are left
-    out before the join, whose hot keys adaptive execution splits.  Null text: no pair; repeated rows count once.
+    Only hashes of form and text (SHA-256) are shuffled, never texts, and both smallest ids are found by partial
+    aggregation.  Null text: no row; repeated rows count once.
     """
-    source = df.select(F.col(key).alias("id"), F.col(text).alias("testo")).filter(F.col("testo").isNotNull())
+    source = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("testo")).filter(F.col("testo").isNotNull() & F.col("id").isNotNull())
     hashed = canonical_form(source).select("id", F.unhex(F.sha2("forma", 256)).alias("f"), F.unhex(F.sha2("testo", 256)).alias("t")).distinct()
-    hashed = durable(hashed)  # it is read three times, and the forms are made once
-    mixed = hashed.groupBy("f").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("f")
-    rows = hashed.join(mixed, "f", "left_semi")
-    a, b = rows.select("f", F.col("id").alias("id_a"), F.col("t").alias("t_a")), rows.select("f", F.col("id").alias("id_b"), F.col("t").alias("t_b"))
-    return a.join(b, "f").filter("id_a < id_b AND t_a <> t_b").select("id_a", "id_b").distinct()
+    hashed = durable(hashed)  # the forms are made once
+    variants = hashed.groupBy("f", "t").agg(F.min("id").alias("variante"))
+    looks = variants.groupBy("f").agg(F.min("variante").alias("classe"))
+    return durable(hashed.join(variants, ["f", "t"]).join(looks, "f").select("id", "classe", "variante"))
+
+
+def same_look_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (id_a, id_b), id_a < id_b, of rows whose texts differ in characters and look the same.
+
+    Different texts of a class are paired by their representatives; then each side brings the rows with its text.  Equal
+    texts never meet, so copies without a variant, however many, make no candidates.
+    """
+    texts = classes.select("classe", "variante").distinct()
+    mixed = texts.filter("variante <> classe").select("classe").distinct()
+    texts = texts.join(mixed, "classe", "left_semi")
+    pairs = texts.select("classe", F.col("variante").alias("a")).join(texts.select("classe", F.col("variante").alias("b")), "classe").filter("a < b").select("a", "b")
+    members = classes.join(mixed, "classe", "left_semi").select("variante", "id")
+    both = pairs.join(members.select(F.col("variante").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("variante").alias("b"), F.col("id").alias("y")), "b")
+    return both.filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

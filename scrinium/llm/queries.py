@@ -23,7 +23,12 @@ def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks that differ in characters and look the same."""
-    return canonical.same_look_pairs(table(spark, folder, "chunk"))
+    return canonical.same_look_pairs(canonical.look_classes(table(spark, folder, "chunk")))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each chunk's class of texts that look the same, and of equal texts."""
+    return canonical.look_classes(table(spark, folder, "chunk"))
 
 
 def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,11 +98,39 @@ def p8_figures(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(spark, folder)
 
 
-P2_SQL = f"""
-WITH forms AS (SELECT DISTINCT id, testo, t FROM ({canonical.canonical_sql("testo", "(SELECT id, testo FROM chunk WHERE testo IS NOT NULL)")}))
-SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.t = b.t AND a.id < b.id AND a.testo <> b.testo
+def _form_sql(source: str) -> str:
+    """(id, testo, t) of ``source`` in one form, character by character: SQL of its own beside the operator's statement."""
+
+    def code(c: str) -> str:
+        return " || ".join(f"chr({ord(x)})" for x in c)
+
+    def table_of(pairs: dict[str, str]) -> str:
+        return f"MAP {{{', '.join(f'{code(a)}: {code(b)}' for a, b in pairs.items())}}}"
+
+    def picture(c: str) -> str:
+        return f"regexp_full_match(coalesce({c}, ' '), '[\\x{{2190}}-\\x{{2BFF}}\\x{{1F000}}-\\x{{1FAFF}}]')"
+
+    def letters(c: str) -> str:
+        return f"regexp_extract_all({c}, '(?s).')"
+
+    one: dict[str, str] = dict(zip(*canonical.widths(), strict=True)) | dict.fromkeys(canonical.spaces(), " ") | dict.fromkeys(canonical.HYPHENS.replace("\u00ad", ""), "-")
+    for own, latin in canonical.LOOKALIKES.values():
+        one |= dict(zip(own, latin, strict=True))
+    before = f"({picture('l[i - 1]')} OR l[i - 1] = chr(65039) AND {picture('l[i - 2]')})"
+    seen = f"list_filter(l, lambda c, i: NOT regexp_full_match(c, '[{canonical.INVISIBLE}]') OR c = chr(8205) AND {before} AND {picture('l[i + 1]')})"
+    home = "".join(f" WHEN len(list_filter(w, lambda c: regexp_full_match(c, '\\p{{{script}}}'))) > 0 AND len(list_filter(w, lambda c: regexp_full_match(c, '[A-Za-z]') AND NOT contains('{latin}', c))) = 0 THEN list_transform(w, lambda c: coalesce(({table_of(dict(reversed(list(zip(latin, own, strict=True)))))})[c], c))" for script, (own, latin) in canonical.LOOKALIKES.items())
+    return f"""
+SELECT id, testo, nfc_normalize(array_to_string(list_transform(list_transform(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda x: {letters('x')}), lambda w: array_to_string(CASE{home} ELSE w END, '')), '')) AS t
+FROM (SELECT id, testo, nfc_normalize(array_to_string(list_transform({seen}, lambda c: coalesce(({table_of(canonical.JOINED)})[c], c)), '')) AS t
+FROM (SELECT id, testo, list_transform(c, lambda x, i: CASE WHEN x = chr(173) AND c[i + 1] IN (chr(10), chr(13)) THEN '-' ELSE coalesce(({table_of(one)})[x], x) END) AS l
+FROM (SELECT id, testo, {letters('testo')} AS c FROM {source})))
 """
 
+
+P2_FORMS = f"forms AS (SELECT DISTINCT id, testo, t FROM ({_form_sql('chunk')}) WHERE testo IS NOT NULL)"
+P2_SQL = f"WITH {P2_FORMS} SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.t = b.t AND a.id < b.id AND a.testo <> b.testo"
+P2_CLASSES_SQL = f"WITH {P2_FORMS} SELECT id, min(id) OVER (PARTITION BY t) AS classe, min(id) OVER (PARTITION BY t, testo) AS variante FROM forms"
+
 P5_SQL = r"""
 WITH words AS (SELECT id, regexp_extract_all(lower(testo), '[\p{L}\p{N}_]+') AS w FROM (SELECT DISTINCT id, testo FROM chunk WHERE testo IS NOT NULL)),
 sets AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM words WHERE len(w) >= 60),
@@ -113,13 +146,14 @@ FROM chunk WHERE length(testo) > 2500 GROUP BY id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classes, p6_ids, p7_found, p7_containers, p8_found, p8_figures)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_classes, p2_forms, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classes, p6_ids, p7_found, p7_containers, p8_found, p8_figures)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": P2_SQL,
-        "p2_forms": f"SELECT id, t AS forma FROM ({canonical.canonical_sql('testo', '(SELECT id, testo FROM chunk)')})",
+        "p2_classes": P2_CLASSES_SQL,
+        "p2_forms": f"SELECT id, CASE WHEN testo IS NOT NULL THEN t END AS forma FROM ({_form_sql('chunk')})",
         "p3_found": P3_SQL,
         "p5_found": P5_SQL,
     }
