@@ -16,14 +16,18 @@ from scrinium.sampling import bounded_sample
 
 K = 5
 DIMENSION = 64
-#: The partition is fitted on at most so many vectors (a uniform sample by hash); every vector is indexed.
+#: A router is fitted on at most so many vectors (a uniform sample by hash); every vector is indexed.
 SAMPLE = 16_384
 #: Vectors a partition should hold, and sampled vectors it needs at least to be learned.
 TARGET, LEARN = 2048, 32
+#: Partitions that one router tells apart at most; beyond that each partition is partitioned again by a router of its own.
+PARTS = 512
 #: Neighbours in the graph of the sample.
 DEGREE = 10
-#: A query goes to its most probable partitions until they have so much of the probability, and to so many at least and most.
-MASS, LEAST, MOST = 0.8, 2, 12
+#: A query goes to so many of its most probable partitions, at every size of the table.
+PROBES = 8
+#: Bytes of vectors that a task of the comparison should get.
+TASK_BYTES = 16_000_000
 #: Rows of a partition that one task compares with as many queries; larger partitions are compared in blocks.
 BLOCK = 16_384
 
@@ -126,23 +130,56 @@ def train_router(rows: np.ndarray, near: np.ndarray, label: np.ndarray, parts: i
     return Router(w, b)
 
 
-def fit(rows: np.ndarray, total: int, target: int = TARGET) -> Router:
-    """Partition the sample ``rows`` of ``total`` vectors and learn to route."""
-    parts = max(1, min(-(-total // target), len(rows) // LEARN))
+def fit(rows: np.ndarray, parts: int) -> Router:
+    """Partition the sample ``rows`` into ``parts``, or as many as it can learn, and learn to route."""
+    parts = max(1, min(parts, len(rows) // LEARN))
     if parts == 1:
         return Router(np.zeros((rows.shape[1], 1), np.float32), np.zeros(1, np.float32))
     near = graph(rows, min(DEGREE, len(rows) - 1))
     return train_router(rows, near, balanced_partition(rows, near, parts), parts)
 
 
-def probes(p: np.ndarray, mass: float = MASS, least: int = LEAST, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """(row, partition) of every visit that queries with probabilities ``p`` make."""
+@dataclass
+class Index:
+    """A router, and one more for each of its partitions where there are two levels; their partitions are the leaves."""
+
+    top: Router
+    below: list[Router] | None = None
+
+    def __post_init__(self) -> None:
+        sizes = [len(r.bias) for r in self.below] if self.below else [1] * len(self.top.bias)
+        self.first = np.cumsum([0, *sizes])
+
+    def visits(self, rows: np.ndarray, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home leaf of each row, row, leaf): where each row lies, and every visit of its search."""
+        p = self.top.probabilities(rows)
+        if self.below is None:
+            best = _best(p, probes)
+            return p.argmax(1), np.repeat(np.arange(len(rows)), best.shape[1]), best.ravel()
+        parts = _best(p, probes)
+        row, leaf, chance, home = [], [], [], np.zeros(len(rows), np.int64)
+        own = p.argmax(1)
+        for b in np.unique(parts):
+            here = np.flatnonzero((parts == b).any(1))
+            q = self.below[b].probabilities(rows[here])
+            mine = own[here] == b
+            home[here[mine]] = self.first[b] + q[mine].argmax(1)
+            best = _best(q, probes)
+            row.append(np.repeat(here, best.shape[1]))
+            leaf.append(self.first[b] + best.ravel())
+            chance.append((np.take_along_axis(q, best, 1) * p[here, b][:, None]).ravel())
+        row, leaf, chance = np.concatenate(row), np.concatenate(leaf), np.concatenate(chance)
+        order = np.lexsort((-chance, row))
+        row, leaf = row[order], leaf[order]
+        start = np.searchsorted(row, np.arange(len(rows)))
+        kept = np.arange(len(row)) - start[row] < probes
+        return home, row[kept], leaf[kept]
+
+
+def _best(p: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` most probable columns of each row."""
     most = min(most, p.shape[1])
-    best = np.argpartition(-p, most - 1, axis=1)[:, :most] if most < p.shape[1] else np.broadcast_to(np.arange(most), p.shape).copy()
-    best = np.take_along_axis(best, np.argsort(-np.take_along_axis(p, best, 1), axis=1, kind="stable"), 1)
-    before = np.cumsum(np.take_along_axis(p, best, 1), 1) - np.take_along_axis(p, best, 1)
-    visit = (before < mass) | (np.arange(most) < least)
-    return np.nonzero(visit)[0], best[visit]
+    return np.argpartition(-p, most - 1, axis=1)[:, :most] if most < p.shape[1] else np.broadcast_to(np.arange(most), p.shape)
 
 
 def _nearest(queries: np.ndarray, qid: np.ndarray, base: np.ndarray, bid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +200,7 @@ def _nearest(queries: np.ndarray, qid: np.ndarray, base: np.ndarray, bid: np.nda
 
 
 _VECTORS = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.BinaryType())])
-_PLACES = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("q", T.BooleanType()), *_VECTORS.fields])
+_PLACES = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("b", "i", "j")), T.StructField("q", T.BooleanType()), *_VECTORS.fields])
 _FOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("y", T.LongType()), T.StructField("sim", T.FloatType())])
 
 
@@ -184,63 +221,121 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dimension)
 
 
-def nearest_vectors(df: DataFrame, key: str = "id", vector: str = "vettore", k: int = K, dimension: int = DIMENSION, sample: int = SAMPLE, target: int = TARGET, mass: float = MASS, most: int = MOST) -> DataFrame:
+def _sampled(rows: DataFrame, sizes: dict[int, int], part) -> DataFrame:
+    """(part, v): of each part about ``SAMPLE`` rows, by hash; ``part`` numbers the rows of a matrix."""
+    names = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("v", T.BinaryType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blobs = batch.column(1).to_pylist()
+            at = part(np.frombuffer(b"".join(blobs), np.float32).reshape(batch.num_rows, -1))
+            share = np.array([xxhash.xxh3_64_intdigest(x) for x in blobs]) / 2.0**64
+            kept = np.flatnonzero(share < np.array([SAMPLE / sizes[int(b)] for b in at]))
+            yield pa.RecordBatch.from_arrays([pa.array(at[kept].astype(np.int32)), batch.column(1).take(pa.array(kept))], names=["part", "v"])
+
+    return rows.mapInArrow(work, names)
+
+
+def fitted_index(distinct: DataFrame, total: int, dimension: int = DIMENSION, sample: int = SAMPLE, target: int = TARGET, parts: int = PARTS) -> Index:
+    """The index of ``total`` distinct vectors (id, v).
+
+    Up to ``target * parts`` vectors one router is enough.  Beyond that there are two levels, of the square root of the
+    number of leaves each, so that leaves stay near ``target``; the routers of the second level are fitted side by side,
+    each on a bounded sample of its own partition.  At most ``parts * parts`` leaves; what is over that makes them grow.
+    """
+    spark = distinct.sparkSession
+    some = bounded_sample(distinct, "id", sample, total).toArrow() if total else None
+    rows = _matrix(some.column("v"), dimension) if total else np.zeros((0, dimension), np.float32)
+    leaves = max(1, -(-total // target))
+    if leaves <= parts:
+        return Index(fit(rows, leaves))
+    top = fit(rows, min(parts, int(np.ceil(np.sqrt(leaves)))))
+    n = len(top.bias)
+    held = spark.sparkContext.broadcast(top)
+    part = lambda m: held.value.probabilities(m).argmax(1)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(n, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                count += np.bincount(part(_matrix(batch.column(1), dimension)), minlength=n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(count)], names=["b", "c"])
+
+    sizes = {r.b: r.c for r in distinct.select("id", "v").mapInArrow(tally, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).collect()}
+
+    def learn(group: pa.Table) -> pa.Table:
+        b = group.column("part")[0].as_py()
+        own = fit(_matrix(group.column("v").slice(0, 2 * SAMPLE), dimension), min(parts, -(-sizes[b] // target)))
+        return pa.table({"part": group.column("part").slice(0, 1), "w": pa.array([own.weights.astype(np.float32).tobytes()], pa.binary()), "b": pa.array([own.bias.astype(np.float32).tobytes()], pa.binary())})
+
+    learned = _sampled(distinct.select("id", "v"), sizes, part).groupBy("part").applyInArrow(learn, "part int, w binary, b binary").collect()
+    below = [Router(np.zeros((dimension, 1), np.float32), np.zeros(1, np.float32)) for _ in range(n)]
+    for r in learned:
+        below[r.part] = Router(np.frombuffer(r.w, np.float32).reshape(dimension, -1), np.frombuffer(r.b, np.float32))
+    return Index(top, below)
+
+
+def nearest_vectors(df: DataFrame, key: str = "id", vector: str = "vettore", k: int = K, dimension: int = DIMENSION, sample: int = SAMPLE, target: int = TARGET, parts: int = PARTS, probes: int = PROBES) -> DataFrame:
     """(id, vicino, somiglianza): the k most similar other rows of each row with a valid vector, by cosine.
 
-    Equal vectors are one vector with several ids, so a hot vector is no hot group.  The index is fitted on at most
-    ``sample`` vectors and holds all; a row is compared with all rows of the partitions it is routed to.  A partition
-    over ``BLOCK`` rows is compared in blocks, each with each, so no task gets more than two blocks.  Ties go to the
-    smaller id; rows repeated under one id count once; invalid and null vectors have no neighbours and are none.
+    Equal vectors are one vector with several ids, so a hot vector is no hot group.  The index is fitted on bounded
+    samples and holds all; a row is compared with all rows of the ``probes`` leaves it is routed to, so each vector has
+    ``probes + 1`` copies at any size of the table.  A leaf over ``BLOCK`` rows or visits is compared in blocks, each with
+    each, so no task gets more than two blocks.  Ties go to the smaller id; rows repeated under one id count once; invalid
+    and null vectors have no neighbours and are none.
     """
     spark = df.sparkSession
     vectors = valid_vectors(df, key, vector, dimension)
     # one row for equal vectors; partial aggregation runs before the shuffle
     distinct = durable(vectors.groupBy("v").agg(F.min("id").alias("id"), F.max("id").alias("last")))
     total = distinct.count()
-    some = bounded_sample(distinct.select("id", "v"), "id", sample, total).toArrow() if total else None
-    router = fit(_matrix(some.column("v"), dimension), total, target) if total else Router(np.zeros((dimension, 1), np.float32), np.zeros(1, np.float32))
-    held = spark.sparkContext.broadcast(router)  # at most dimension x sample / LEARN weights
+    index = fitted_index(distinct.select("id", "v"), total, dimension, sample, target, parts)
+    held = spark.sparkContext.broadcast(index)  # at most 4 * (dimension + 1) * parts * (parts + 1) bytes
+    leaves = int(index.first[-1])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
+    # how many blocks a leaf needs, for those that need more than one: at most one for each BLOCK visits
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, leaves), np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            p = own.probabilities(_matrix(batch.column(1), dimension))
-            row, part = probes(p, mass, LEAST, most)
-            home = p.argmax(1)
-            at = np.concatenate([np.arange(len(home)), row])
-            both = pa.array(np.concatenate([home, part]).astype(np.int32)), pa.array(np.arange(len(at)) >= len(home))
-            yield pa.RecordBatch.from_arrays([*both, batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=_PLACES.names)
+            if batch.num_rows:
+                home, _, leaf = held.value.visits(_matrix(batch.column(1), dimension), probes)
+                n[0] += np.bincount(home, minlength=leaves)
+                n[1] += np.bincount(leaf, minlength=leaves)
+        any_ = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(any_.astype(np.int32)), pa.array(n[0][any_]), pa.array(n[1][any_])], names=["b", "rows", "queries"])
 
-    placed = distinct.select("id", "v").mapInArrow(place, _PLACES)
-    parts = router.bias.shape[0]
+    counts = distinct.select("id", "v").mapInArrow(tally, "b int, rows long, queries long").groupBy("b").agg(F.sum("rows").alias("rows"), F.sum("queries").alias("queries"))
+    large = sorted((r.b, -(-r.rows // BLOCK), -(-r.queries // BLOCK)) for r in counts.filter((F.col("rows") > BLOCK) | (F.col("queries") > BLOCK)).collect())
+    table = np.array(large, np.int64).reshape(-1, 3)
 
-    # how many blocks each partition needs; at most two numbers for each partition come to the driver
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = held.value, np.zeros((2, parts), np.int64)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                p = own.probabilities(_matrix(batch.column(1), dimension))
-                n[0] += np.bincount(p.argmax(1), minlength=parts)
-                n[1] += np.bincount(probes(p, mass, LEAST, most)[1], minlength=parts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(n[0]), pa.array(n[1])], names=["b", "rows", "queries"])
-
-    counts = distinct.select("id", "v").mapInArrow(tally, "b int, rows long, queries long").groupBy("b").agg(F.sum("rows").alias("rows"), F.sum("queries").alias("queries")).collect()
-    large = {r.b: (-(-r.rows // BLOCK), -(-r.queries // BLOCK)) for r in counts if r.rows > BLOCK or r.queries > BLOCK}
-    h = F.abs(F.xxhash64("id"))
-    if large:
-        blocks = F.create_map(*[x for b, (n, m) in large.items() for x in (F.lit(b), F.struct(F.lit(int(n)).alias("n"), F.lit(int(m)).alias("m")))])
-        n, m = F.coalesce(blocks[F.col("b")]["n"], F.lit(1)), F.coalesce(blocks[F.col("b")]["m"], F.lit(1))
-    else:
-        n, m = F.lit(1), F.lit(1)
-    every = lambda size: F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1)
-    units = placed.select(
-        "*",
-        F.when(F.col("q"), F.transform(every(n), lambda i: F.struct(i.alias("i"), (h % F.greatest(m, F.lit(1))).cast("int").alias("j"))))
-        .otherwise(F.transform(every(m), lambda j: F.struct((h % F.greatest(n, F.lit(1))).cast("int").alias("i"), j.alias("j"))))
-        .alias("u"),
-    ).select("b", "q", "id", "v", F.explode("u").alias("u"))
+            if not batch.num_rows:
+                continue
+            home, row, leaf = held.value.visits(_matrix(batch.column(1), dimension), probes)
+            at, b = np.concatenate([np.arange(len(home)), row]), np.concatenate([home, leaf])
+            asks = np.arange(len(at)) >= len(home)
+            own = np.zeros((2, len(at)), np.int64)
+            other = np.ones((2, len(at)), np.int64)
+            if len(table):
+                k = np.minimum(np.searchsorted(table[:, 0], b), len(table) - 1)
+                size = np.where((table[k, 0] == b)[:, None], table[k, 1:], 1)
+                mixed = (batch.column(0).to_numpy().astype(np.uint64)[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                own = np.stack([mixed.astype(np.int64) % np.maximum(size[:, 0], 1), mixed.astype(np.int64) % np.maximum(size[:, 1], 1)])
+                other = np.maximum(size.T, 1)
+            # a row lies in its block i and meets all blocks j of queries; a query the other way round
+            times = np.where(asks, other[0], other[1])
+            many = np.repeat(np.arange(len(at)), times)
+            turn = np.arange(len(many)) - np.repeat(np.cumsum(times) - times, times)
+            i, j = np.where(asks[many], turn, own[0][many]), np.where(asks[many], own[1][many], turn)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (b[many], i, j)), pa.array(asks[many]), *(batch.column(c).take(pa.array(at[many])) for c in (0, 1))], names=_PLACES.names)
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, total * (probes + 1) * (4 * dimension + 24) // TASK_BYTES))
+    units = distinct.select("id", "v").mapInArrow(place, _PLACES).repartition(tasks, "b", "i", "j")
 
     def compare(group: pa.Table) -> pa.Table:
         asks = group.column("q").to_numpy()
@@ -251,7 +346,7 @@ def nearest_vectors(df: DataFrame, key: str = "id", vector: str = "vettore", k:
         got = who.ravel() >= 0
         return pa.table({"id": np.repeat(ids[asks], k)[got], "y": who.ravel()[got], "sim": sims.ravel()[got]})
 
-    found = units.groupBy("b", "u").applyInArrow(compare, _FOUND)
+    found = units.groupBy("b", "i", "j").applyInArrow(compare, _FOUND)
     # a query's results from all its partitions; a handful of rows each
     best = lambda n: F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("far"), F.col("y")))), 1, n)
     merged = found.groupBy("id").agg(best(k).alias("near"))

@@ -61,3 +61,22 @@ def test_small_tables(spark):
     assert [tuple(r) for r in N.neighbour_pairs(N.nearest_vectors(df)).collect()] == [(1, 2)]
     assert N.nearest_vectors(df.limit(1)).count() == 0
     assert N.nearest_vectors(df.limit(0)).count() == 0
+
+
+def test_two_levels_keep_leaves_small_and_recall(spark):
+    x = clustered(6000, 5)
+    df = spark.createDataFrame([(int(k), blob(v)) for k, v in enumerate(x)], "id long, vettore binary").repartition(4)
+    _, u = N.unit_rows([blob(v) for v in x])
+    vectors = N.valid_vectors(df)
+    index = N.fitted_index(vectors, 6000, sample=4000, target=60, parts=12)
+    assert index.below is not None and 80 <= index.first[-1] <= 144
+    home, row, leaf = index.visits(u)
+    assert np.bincount(home).max() < 6 * 60 and (np.bincount(row) == N.PROBES).all()
+    assert len({(a, b) for a, b in zip(row.tolist(), leaf.tolist(), strict=True)}) == len(row)
+    got = {}
+    for r in N.nearest_vectors(df, sample=4000, target=60, parts=12).collect():
+        got.setdefault(r.id, set()).add(r.vicino)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    true = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([len(got.get(k, set()) & set(true[k])) / 5 for k in range(6000)]) >= 0.9
