@@ -200,7 +200,7 @@ def _nearest(queries: np.ndarray, qid: np.ndarray, base: np.ndarray, bid: np.nda
 
 
 _VECTORS = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.BinaryType())])
-_PLACES = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("b", "i", "j")), T.StructField("q", T.BooleanType()), *_VECTORS.fields])
+_PLACES = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("b", "i", "j")), T.StructField("q", T.IntegerType()), *_VECTORS.fields])
 _FOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("y", T.LongType()), T.StructField("sim", T.FloatType())])
 
 
@@ -284,7 +284,7 @@ def nearest_vectors(df: DataFrame, key: str = "id", vector: str = "vettore", k:
 
     Equal vectors are one vector with several ids, so a hot vector is no hot group.  The index is fitted on bounded
     samples and holds all; a row is compared with all rows of the ``probes`` leaves it is routed to, so each vector has
-    ``probes + 1`` copies at any size of the table.  A leaf over ``BLOCK`` rows or visits is compared in blocks, each with
+    about ``probes`` copies at any size of the table.  A leaf over ``BLOCK`` rows or visits is compared in blocks, each with
     each, so no task gets more than two blocks.  Ties go to the smaller id; rows repeated under one id count once; invalid
     and null vectors have no neighbours and are none.
     """
@@ -317,8 +317,12 @@ def nearest_vectors(df: DataFrame, key: str = "id", vector: str = "vettore", k:
             if not batch.num_rows:
                 continue
             home, row, leaf = held.value.visits(_matrix(batch.column(1), dimension), probes)
-            at, b = np.concatenate([np.arange(len(home)), row]), np.concatenate([home, leaf])
-            asks = np.arange(len(at)) >= len(home)
+            # a query to the leaf that it lies in is one row with its vector
+            both = (leaf == home[row]) & ~np.isin(leaf, table[:, 0])
+            alone = np.setdiff1d(np.arange(len(home)), row[both])
+            at, b = np.concatenate([alone, row]), np.concatenate([home[alone], leaf])
+            kind = np.concatenate([np.zeros(len(alone), np.int32), np.where(both, 2, 1)])
+            asks = kind > 0
             own = np.zeros((2, len(at)), np.int64)
             other = np.ones((2, len(at)), np.int64)
             if len(table):
@@ -332,17 +336,18 @@ def nearest_vectors(df: DataFrame, key: str = "id", vector: str = "vettore", k:
             many = np.repeat(np.arange(len(at)), times)
             turn = np.arange(len(many)) - np.repeat(np.cumsum(times) - times, times)
             i, j = np.where(asks[many], turn, own[0][many]), np.where(asks[many], own[1][many], turn)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (b[many], i, j)), pa.array(asks[many]), *(batch.column(c).take(pa.array(at[many])) for c in (0, 1))], names=_PLACES.names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (b[many], i, j)), pa.array(kind[many].astype(np.int32)), *(batch.column(c).take(pa.array(at[many])) for c in (0, 1))], names=_PLACES.names)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, total * (probes + 1) * (4 * dimension + 24) // TASK_BYTES))
     units = distinct.select("id", "v").mapInArrow(place, _PLACES).repartition(tasks, "b", "i", "j")
 
     def compare(group: pa.Table) -> pa.Table:
-        asks = group.column("q").to_numpy()
+        kind = group.column("q").to_numpy()
+        asks, lies = kind > 0, kind != 1
         ids, rows = group.column("id").to_numpy(), _matrix(group.column("v"), dimension)
-        if asks.all() or not asks.any():
+        if not lies.any() or not asks.any():
             return pa.table({"id": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "sim": pa.array([], pa.float32())})
-        who, sims = _nearest(rows[asks], ids[asks], rows[~asks], ids[~asks], k)
+        who, sims = _nearest(rows[asks], ids[asks], rows[lies], ids[lies], k)
         got = who.ravel() >= 0
         return pa.table({"id": np.repeat(ids[asks], k)[got], "y": who.ravel()[got], "sim": sims.ravel()[got]})
 
