@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
@@ -22,6 +23,7 @@ class Engine:
     def __init__(self, store: Store, embed: Callable[[str], list[float]], column_embed: Callable, config_path: str) -> None:
         self.store, self.embed, self.column_embed, self.config_path = store, embed, column_embed, config_path
         self._lock, self._held, self._running = threading.Lock(), None, False
+        self._status: dict[str, str] = {}
 
     def snapshot(self):
         """(name, files, chunks, index), read anew when there is a newer snapshot; a running search keeps its own."""
@@ -44,7 +46,9 @@ class Engine:
 
     def state(self) -> dict:
         spark, files = self.store.spark, self.snapshot()[1]
-        status = spark.createDataFrame([("in_corso", str(int(self._running)))], "chiave string, valore string")
+        with self._lock:
+            now = self._status | {"in_corso": str(int(self._running))}
+        status = spark.createDataFrame(sorted(now.items()), "chiave string, valore string")
         active = config.load(self.config_path)["estensioni_attive"]
         known = spark.createDataFrame([(e.lstrip("."),) for e in active], "estensione string").filter(F.col("estensione") != "")
         return service.state(files, status, known) | {"config": config.load(self.config_path)}
@@ -59,8 +63,12 @@ class Engine:
         def work() -> None:
             try:
                 own = config.load(self.config_path)
-                run(self.store, own["radici"], own["estensioni_attive"], own["esclusioni"], self.column_embed)
-            finally:
+                counts = run(self.store, own["radici"], own["estensioni_attive"], own["esclusioni"], self.column_embed)
+                outcome = {r.azione: str(r.file) for r in counts.collect()} | {"errore": ""}
+            except Exception as error:  # noqa: BLE001 - a pass that fails is reported, and the next one may start
+                outcome = {"errore": f"{type(error).__name__}: {error}"[:500]}
+            with self._lock:
+                self._status = outcome | {"ultimo_passaggio": str(time.time())}
                 self._running = False
 
         threading.Thread(target=work, daemon=True).start()

@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrinium.durable import durable
 from scrinium.functions.text import basename, dirname, snippet
 from scrinium.functions.vectors import dot
 
@@ -62,7 +61,9 @@ def dense_search(index: DataFrame, query: list[float], n: int = DEFAULT_RESULTS,
     (percorso) restricts to files of the identifier rule, which also turns the cut off.  ``copie`` counts catalogued
     copies plus lower ranked results of the same key.  Rows whose vector is null or has NaN never appear.
     """
-    best = best_per_file(scored(index, query, vector), ["percorso"])
+    # text and vector stay out of the shuffles; the text of the results is brought at the end
+    scores = scored(index.select("id", "percorso", "chiave", vector), query, vector).drop(vector)
+    best = best_per_file(scores, ["percorso"])
     if only is not None:
         best, cut = best.join(only.select("percorso").distinct(), "percorso", "left_semi"), 0.0
     one = collapsed(relative_cut(best, cut), "chiave")
@@ -70,40 +71,72 @@ def dense_search(index: DataFrame, query: list[float], n: int = DEFAULT_RESULTS,
         one = one.join(copies.select("chiave", "copie"), "chiave", "left").withColumn("copie", F.greatest(F.coalesce("copie", F.lit(1)) - 1, F.lit(0)) + F.col("altre"))
     else:
         one = one.withColumn("copie", F.col("altre"))
-    top = one.orderBy(F.desc("punteggio"), "id").limit(result_limit(n))
+    top = F.broadcast(one.orderBy(F.desc("punteggio"), "id").limit(result_limit(n)))  # 50 rows at most
+    top = index.select("id", "percorso", "testo").join(top, ["id", "percorso"]).dropDuplicates(["id", "percorso"]).orderBy(F.desc("punteggio"), "id")
     return top.select(F.col("percorso").alias("path"), basename(F.col("percorso")).alias("nome"), dirname(F.col("percorso")).alias("cartella"), F.round("punteggio", 4).alias("punteggio"), snippet(F.col("testo")).alias("frammento"), "copie")
 
 
+#: Bytes of query vectors that are broadcast at once; a larger set of queries takes one more pass over the index for each.
+QUERY_BYTES = 64_000_000
+#: Rows of a side that is broadcast by request.
+FEW = 100_000
+
+
+def if_small(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """``df`` with a broadcast hint where it has at most ``rows`` rows, else as it is, so that the join is by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def batch_search(index: DataFrame, queries: DataFrame, k: int = 10, vector: str = "vettore", block: int = 1024) -> DataFrame:
-    """(q, id, punteggio, posto): the ``k`` best rows of the index for each of many queries.
+    """(q, id, punteggio, posto): the ``k`` best rows of the index for each of many queries (q, vector).
 
-    Queries (q, vector) are packed into blocks of matrices; every part of the index meets every block and keeps its own
-    best, so only k rows a query and part are shuffled.  A row is no match of a query with its own id (q = id).
+    The queries come as matrices, as many at once as ``QUERY_BYTES`` allow; each task passes once over its part of the
+    index in blocks of ``block`` queries and keeps its own best, so only k rows a query and task are shuffled.  A row is
+    no match of a query with its own id (q = id).
     """
-    dim = "size(v)"
-    packed = queries.select(F.col("q").cast("long").alias("q"), F.col(vector).alias("v")).filter("v IS NOT NULL").withColumn("b", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("q"), F.lit(64))).orderBy("q")) - 1) / block)).withColumn("p", F.pmod(F.xxhash64("q"), F.lit(64)))
-    blocks = packed.groupBy("p", "b").agg(F.collect_list(F.struct("q", "v")).alias("qs"))
-    rows = index.select(F.col("id").cast("long").alias("id"), F.col(vector).alias("v")).filter(f"v IS NOT NULL AND {dim} > 0")
-    parts = rows.groupBy(F.spark_partition_id().alias("s"), F.floor(F.monotonically_increasing_id() % F.lit(1 << 33) / 8192).alias("r")).agg(F.collect_list(F.struct("id", "v")).alias("xs"))
+    spark = index.sparkSession
+    asked = queries.select(F.col("q").cast("long").alias("q"), F.col(vector).alias("v")).filter("v IS NOT NULL AND size(v) > 0")
+    size = asked.agg(F.coalesce(F.sum(F.size("v") * 8 + 8), F.lit(0)).alias("b")).first().b
+    passes = max(1, -(-size // QUERY_BYTES))
+    rows = index.select(F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL AND size(v) > 0")
+    met = None
+    for turn in range(passes):
+        part = asked if passes == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(passes)) == turn)
+        found = rows.mapInArrow(_best_of_part(spark.sparkContext.broadcast(_matrix(part)), k, block), "q long, id long, punteggio double")
+        met = found if met is None else met.unionByName(found)
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("punteggio"), "id")).cast("long")
+    return met.withColumn("posto", place).filter(F.col("posto") <= k)
 
+
+def _matrix(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    table = queries.select("q", F.col("v").cast("array<double>").alias("v")).toArrow()
+    ids = table.column("q").to_numpy()
+    return ids, table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+
+
+def _best_of_part(held, k: int, block: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, qv = held.value
+        ids, values = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
         for batch in batches:
-            for qs, xs in zip(batch.column(0), batch.column(1), strict=True):
-                q, x = qs.values, xs.values
-                qid, xid = q.field("q").to_numpy(), x.field("id").to_numpy()
-                qv = np.asarray(q.field("v").flatten(), np.float64).reshape(len(qid), -1)
-                xv = np.asarray(x.field("v").flatten(), np.float64).reshape(len(xid), -1)
-                s = np.where(qid[:, None] == xid[None, :], -np.inf, np.nan_to_num(qv @ xv.T, nan=-np.inf))
-                m = min(k, s.shape[1])
-                top = np.argsort(-s, axis=1, kind="stable")[:, :m] if s.shape[1] <= 4 * k else np.argpartition(-s, m - 1, axis=1)[:, :m]
-                value = np.take_along_axis(s, top, 1)
-                ok = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, m).reshape(-1, m)[ok]), pa.array(xid[top][ok]), pa.array(value[ok])], names=["q", "id", "punteggio"])
-
-    # a stated query set against all rows, in blocks
-    met = parts.crossJoin(blocks).select("qs", "xs").mapInArrow(work, "q long, id long, punteggio double")
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("punteggio"), "id")).cast("long")
-    return met.withColumn("posto", place).filter(F.col("posto") <= k)
+            xid = batch.column(0).to_numpy()
+            if not len(xid) or not len(qid):
+                continue
+            xv = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(xid), -1)
+            m = min(k, len(xid))
+            best, score = np.empty((len(qid), m), np.int64), np.empty((len(qid), m))
+            for a in range(0, len(qid), block):
+                s = np.nan_to_num(qv[a : a + block] @ xv.T, nan=-np.inf)
+                s[qid[a : a + block, None] == xid] = -np.inf
+                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                best[a : a + block], score[a : a + block] = xid[top], np.take_along_axis(s, top, 1)
+            ids, values = np.concatenate([ids, best], 1), np.concatenate([values, score], 1)
+            order = np.lexsort((ids, -values), axis=1)[:, :k]
+            ids, values = np.take_along_axis(ids, order, 1), np.take_along_axis(values, order, 1)
+        ok = np.isfinite(values)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, values.shape[1]).reshape(values.shape)[ok]), pa.array(ids[ok]), pa.array(values[ok])], names=["q", "id", "punteggio"])
+
+    return work
 
 
 def query_terms(query: str) -> list[str]:
@@ -147,16 +180,15 @@ def identifier_files(chunks: DataFrame, catalogue: DataFrame, query: str) -> Dat
     return all_terms.crossJoin(F.broadcast(rare)).select("percorso")
 
 
-def ranked(rows: DataFrame, by: list[str], order: str = "id") -> DataFrame:
+def ranked(rows: DataFrame, by: list[str], order: str = "id", steps: int = 64) -> DataFrame:
     """Rows with ``posto``, their 1-based place within ``by``, by score and then ``order``.
 
-    A ranking of any length is placed by all tasks: rows are spread by ranges of (by, score, order), numbered within
-    their range, and moved on by the number of rows in the ranges before, of which there are as many as partitions.
+    A ranking of any length is placed by many tasks: about equal ranges of scores are numbered side by side, and moved on
+    by the number of rows in the ranges before.  Rows with one score stay in one range.
     """
-    sort = [*[F.asc(c) for c in by], F.desc("punteggio"), F.asc(order)]
-    # written before, since finding the ranges reads it too, and after, since a row's range must be the same for its two uses
-    spread = durable(durable(rows).repartitionByRange(*sort).withColumn("_p", F.spark_partition_id()))
-    local = spread.withColumn("posto", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*sort[len(by) :])).cast("long"))
+    bounds = rows.groupBy(*by).agg(F.percentile_approx("punteggio", [k / steps for k in range(1, steps)], 1000).alias("_q"))
+    spread = rows.join(bounds, by).withColumn("_p", F.size(F.filter("_q", lambda x: x > F.col("punteggio")))).drop("_q")
+    local = spread.withColumn("posto", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(F.desc("punteggio"), F.asc(order))).cast("long"))
     sizes = spread.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.sum("_n").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_n")).drop("_n")
     return local.join(before, [*by, "_p"]).withColumn("posto", F.col("posto") + F.col("_b")).drop("_b", "_p")

@@ -1,19 +1,16 @@
 """One pass of the index over a folder of documents, as a plan over sets.
 
-A store is a folder of snapshots and a pointer file that names the current one; readers see a whole snapshot, and an
-interrupted pass leaves the pointer where it was.
+A store is a folder of snapshots, on any file system that Spark knows.  An empty file beside a snapshot says that all of
+it is there; the newest such file names the current one.  Readers see a whole snapshot, and an interrupted pass changes
+nothing for them.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
 import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +18,11 @@ from pyspark.sql import functions as F
 from scrinium.functions.text import extractor_version, suffix, windows
 from scrinium.operators import catalogue as C
 from scrinium.sources import readers as R
+from scrinium.sources import storage
 
 FILES = "percorso string, mtime double, dimensione long, impronta string, n_chunk int, ocr int, visto_a double, impronta_testo string, versione string"
 CHUNKS = "id long, percorso string, n int, testo string, vettore array<double>"
+_DONE = "completo-"
 
 
 @dataclass
@@ -33,33 +32,34 @@ class Store:
     spark: SparkSession
     folder: str
 
+    def _complete(self) -> list[str]:
+        return [n.removeprefix(_DONE) for n in storage.names(self.spark, self.folder) if n.startswith(_DONE)]
+
     def current(self) -> str | None:
-        pointer = Path(self.folder, "attuale.json")
-        return json.loads(pointer.read_text())["snapshot"] if pointer.exists() else None
+        return max(self._complete(), default=None)
 
     def read(self, name: str) -> DataFrame:
         now = self.current()
         if now is None:
             return self.spark.createDataFrame([], FILES if name == "files" else CHUNKS)
-        return self.spark.read.parquet(f"file://{self.folder}/{now}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{now}/{name}")
 
     def write(self, files: DataFrame, chunks: DataFrame) -> str:
-        """A new snapshot; the pointer moves when all of it is there."""
-        name = f"s{int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
-        files.write.parquet(f"file://{self.folder}/{name}/files")
-        chunks.write.parquet(f"file://{self.folder}/{name}/chunks")
-        beside = Path(self.folder, "attuale.nuovo")
-        beside.write_text(json.dumps({"snapshot": name}))
-        os.replace(beside, Path(self.folder, "attuale.json"))
+        """A new snapshot, the current one as soon as all of it is there."""
+        name = f"s{max(int(time.time() * 1000), int((self.current() or 's0-')[1:].split('-')[0]) + 1):016d}-{uuid.uuid4().hex[:6]}"
+        files.write.parquet(f"{self.folder}/{name}/files")
+        chunks.write.parquet(f"{self.folder}/{name}/chunks")
+        storage.create(self.spark, f"{self.folder}/{_DONE}{name}")
         return name
 
-
     def prune(self, keep: int = 2) -> list[str]:
-        """Remove all but the last ``keep`` snapshots, which a reader may still use; returns what went."""
-        old = sorted(p.name for p in Path(self.folder).glob("s*-*") if p.is_dir() and p.name != self.current())
-        gone = old[: max(0, len(old) - keep + 1)]
+        """Remove all but the last ``keep`` snapshots, which a reader may still use, and what broken passes left before them; returns what went."""
+        done = self._complete()
+        kept = sorted(done)[-keep:]
+        gone = [n for n in storage.names(self.spark, self.folder) if n.startswith("s") and "-" in n and n not in kept and kept and n < kept[-1]]
         for name in gone:
-            shutil.rmtree(Path(self.folder, name))
+            storage.remove(self.spark, f"{self.folder}/{_DONE}{name}")
+            storage.remove(self.spark, f"{self.folder}/{name}")
         return gone
 
 
@@ -94,8 +94,8 @@ def run(
     work = f"{store.folder}/lavoro-{uuid.uuid4().hex[:8]}"
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"file://{work}/{name}")
-        return spark.read.parquet(f"file://{work}/{name}")
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.parquet(f"{work}/{name}")
 
     files, chunks = store.read("files"), store.read("chunks")
     listing = C.listed(R.without_packages(R.scan(spark, roots)), roots, extensions, rules)
@@ -133,6 +133,6 @@ def run(
     label = F.when(F.col("azione") == C.UNCHANGED, "invariato").when(F.col("stato") == R.READ, F.when(F.col("copia"), "copia").otherwise("indicizzato")).otherwise(F.col("stato"))
     counts = state.groupBy(label.alias("azione")).agg(F.count("*").alias("file"))
     rows = counts.unionByName(gone.select(F.lit("sparito").alias("azione")).groupBy("azione").agg(F.count("*").alias("file"))).collect()  # one for each outcome
-    shutil.rmtree(work)
+    storage.remove(spark, work)
     store.prune()
     return spark.createDataFrame(rows, counts.schema)

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrinium.durable import durable
 from scrinium.functions import text as T
 from scrinium.functions.vectors import dot, hashing_embedder, norm, unit_from_bytes
 from scrinium.operators import catalogue as C
@@ -68,7 +67,7 @@ FREQ = f"""{CH}, {ASKED}, hits AS (SELECT DISTINCT token, percorso FROM (SELECT
 size AS (SELECT count(DISTINCT percorso) AS n FROM ch), fdf AS (SELECT token, count(*) AS df, any_value(n) AS n FROM hits, size GROUP BY token),
 gain AS (SELECT q, percorso, sum(ln(n / df) * volte) AS g FROM hits JOIN fdf USING (token) JOIN asked USING (token) WHERE df <= n * 0.05 GROUP BY ALL),
 top AS (SELECT q, max(ln(n / df)) AS m FROM fdf JOIN asked USING (token) WHERE df <= n * 0.05 GROUP BY q)"""
-RELEVANT = "len(list_filter(attesi, lambda a: contains(lower(regexp_extract(percorso, '[^/]*$')), lower(a)) OR contains(lower(percorso), '/' || lower(a) || '/'))) > 0"
+RELEVANT = "len(list_filter(attesi, lambda a: contains(lower(regexp_extract(percorso, '[^/]*$')), lower(a)))) > 0"
 CASES = "cases AS (SELECT q, list_distinct(flatten(list(attesi))) AS attesi FROM casi WHERE q IS NOT NULL GROUP BY q)"
 #: Terms for the identifier queries: a name, a word of many files, and one that doesn't occur.
 TERMS = ["tresmasti", "pagamenti", "zzzassente"]
@@ -378,8 +377,11 @@ def _lexical(spark, folder):
 
 
 def _bm25_files(spark, folder):
-    scores = L.bm25(*_lexical(spark, folder)).withColumn("punteggio", F.round("punteggio", 9))
-    return L.best_files(scores)
+    return L.best_files(_bm25_scores(spark, folder))
+
+
+def _bm25_scores(spark, folder):
+    return L.bm25(*_lexical(spark, folder)).withColumn("punteggio", F.round("punteggio", 9))
 
 
 @query(f"WITH {BM25} SELECT token, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, size")
@@ -410,13 +412,16 @@ df_ AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY punteggio DESC, id)
 DENSE = _DENSE.format(w=WORDS.format("testo"))
 
 
-def _dense_files(spark, folder, k=None):
-    """Ranking of files by the hashing embedder; queries are few and come as one broadcast array of vectors."""
+def _dense_scores(spark, folder):
+    """Scores of all chunks by the hashing embedder: a stated set of queries against all rows."""
     docs, cases = _lexical(spark, folder)
     embed = hashing_embedder(256)
-    asked = F.broadcast(cases.filter("q IS NOT NULL").select("q").distinct().filter(F.size(T.words(F.col("q"))) > 0).withColumn("v", embed("q")))
-    scores = docs.select("id", "percorso", embed("testo").alias("e")).crossJoin(asked).select("q", "id", "percorso", F.round(dot(F.col("e"), F.col("v")), 9).alias("punteggio"))
-    return L.best_files(scores, k)
+    asked = S.if_small(cases.filter("q IS NOT NULL").select("q").distinct().filter(F.size(T.words(F.col("q"))) > 0).withColumn("v", embed("q")), 1_000)
+    return docs.select("id", "percorso", embed("testo").alias("e")).crossJoin(asked).select("q", "id", "percorso", F.round(dot(F.col("e"), F.col("v")), 9).alias("punteggio"))
+
+
+def _dense_files(spark, folder, k=None):
+    return L.best_files(_dense_scores(spark, folder), k)
 
 
 @query(f"WITH {BM25}, {DENSE} SELECT q, percorso, id, round(punteggio, 4) AS punteggio, posto FROM df_ WHERE posto <= 10 AND punteggio > 0")
@@ -434,7 +439,7 @@ def rank_fusion(spark, folder):
 def rare_boost(spark, folder):
     cases = table(spark, folder, "casi")
     frequency = L.file_frequency(_chunks(spark, folder), cases)
-    return L.boosted(_dense_files(spark, folder), frequency, cases, 0.1).select("q", "percorso", F.round("punteggio", 6).alias("punteggio"))
+    return L.boosted(L.scored_files(_dense_scores(spark, folder)), frequency, cases, 0.1).select("q", "percorso", F.round("punteggio", 6).alias("punteggio"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -443,7 +448,7 @@ _METRICS = "min(posto) FILTER (p) AS primo, count(*) FILTER (p AND posto <= 8) A
 
 @query(f"WITH {BM25}, {CASES}, r AS (SELECT *, {RELEVANT} AS p FROM bf JOIN cases USING (q) WHERE punteggio > 0) SELECT q, {_METRICS} FROM r GROUP BY q")
 def evaluate_bm25(spark, folder):
-    return E.metrics(_bm25_files(spark, folder), table(spark, folder, "casi"))
+    return E.score_metrics(E.relevant(L.scored_files(_bm25_scores(spark, folder)), table(spark, folder, "casi")), ["q"])
 
 
 @query(f"""WITH {BM25}, {DENSE}, {CASES}, {FREQ.replace("asked AS", "asked2 AS").replace("size AS", "size2 AS").replace("FROM hits, size GROUP", "FROM hits, size2 GROUP")},
@@ -453,16 +458,85 @@ c AS (SELECT * FROM (SELECT *, max(s) OVER (PARTITION BY q, alfa, beta) AS m FRO
 r AS (SELECT *, {RELEVANT} AS p FROM (SELECT *, row_number() OVER (PARTITION BY q, alfa, beta ORDER BY s DESC, percorso) AS posto FROM c) JOIN cases USING (q)) SELECT q, alfa, beta, {_METRICS} FROM r GROUP BY q, alfa, beta""")
 def parameter_sweep(spark, folder):
     cases = table(spark, folder, "casi")
-    zero = durable(E.relevant(_dense_files(spark, folder), cases))
-    gain = L.boosted(zero.withColumn("punteggio", F.lit(0.0)), L.file_frequency(_chunks(spark, folder), cases), cases, 1.0).select("q", "percorso", F.col("punteggio").alias("guadagno"))
-    grid = spark.createDataFrame([(a, b) for a in (1.0, 0.95, 0.9, 0.85) for b in (0.0, 0.05, 0.1)], "alfa double, beta double")
-    rows = zero.join(gain, ["q", "percorso"], "left").crossJoin(F.broadcast(grid)).withColumn("punteggio", F.round(F.col("punteggio") + F.col("beta") * F.coalesce("guadagno", F.lit(0.0)), 9))
-    return E.swept(rows, cases)
+    plain = L.scored_files(_dense_scores(spark, folder))
+    gain = L.boosted(plain.withColumn("punteggio", F.lit(0.0)), L.file_frequency(_chunks(spark, folder), cases), cases, 1.0).select("q", "percorso", F.col("punteggio").alias("guadagno"))
+    boosts = F.explode(F.array([F.lit(b) for b in (0.0, 0.05, 0.1)])).alias("beta")
+    rows = E.relevant(plain, cases).join(gain, ["q", "percorso"], "left").select("q", "percorso", "pertinente", F.coalesce("guadagno", F.lit(0.0)).alias("g"), "punteggio", boosts)
+    rows = rows.select("q", "percorso", "pertinente", "beta", F.round(F.col("punteggio") + F.col("beta") * F.col("g"), 9).alias("punteggio"))
+    return E.score_metrics(rows, ["q", "beta"], "percorso", cuts=[1.0, 0.95, 0.9, 0.85])
 
 
 @query(f"WITH {BM25}, {DENSE}, {CASES}, r AS (SELECT 'lessicale' AS m, q, percorso, posto FROM bf WHERE punteggio > 0 UNION ALL SELECT 'denso', q, percorso, posto FROM df_ WHERE punteggio > 0), x AS (SELECT *, {RELEVANT} AS p FROM r JOIN cases USING (q)) SELECT q, min(posto) FILTER (p AND m = 'denso') AS denso, min(posto) FILTER (p AND m = 'lessicale') AS lessicale FROM x GROUP BY q")
 def model_comparison(spark, folder):
-    return E.compared({"denso": _dense_files(spark, folder), "lessicale": _bm25_files(spark, folder)}, table(spark, folder, "casi"))
+    return E.compared({"denso": L.scored_files(_dense_scores(spark, folder)), "lessicale": L.scored_files(_bm25_scores(spark, folder))}, table(spark, folder, "casi"))
+
+
+@query(f"""WITH {BM25}, {DENSE}, {CASES}, r AS (SELECT 'lessicale' AS modello, q, percorso, posto FROM bf WHERE punteggio > 0 UNION ALL SELECT 'denso', q, percorso, posto FROM df_ WHERE punteggio > 0),
+h AS (SELECT 'ibrido' AS modello, q, percorso, row_number() OVER (PARTITION BY q ORDER BY s DESC, percorso) AS posto FROM (SELECT q, percorso, round(sum(1 / (60 + posto)), 12) AS s FROM r GROUP BY ALL)),
+x AS (SELECT *, {RELEVANT} AS p FROM (SELECT * FROM r UNION ALL SELECT * FROM h) JOIN cases USING (q)) SELECT modello, q, {_METRICS} FROM x GROUP BY modello, q""")
+def ranking_report(spark, folder):
+    """The report of the three rankings: dense, lexical and fused, with the first relevant place and what the first eight hold."""
+    cases = table(spark, folder, "casi")
+    rankings = {"denso": L.scored_files(_dense_scores(spark, folder)), "lessicale": L.scored_files(_bm25_scores(spark, folder))}
+    mixed = L.fused(*(S.ranked(r, ["q"]) for r in rankings.values())).withColumn("punteggio", F.round("punteggio", 12))
+    rows = mixed.select(F.lit("ibrido").alias("modello"), "q", "percorso", F.lit(0).cast("long").alias("id"), "punteggio")
+    for name, r in rankings.items():
+        rows = rows.unionByName(r.select(F.lit(name).alias("modello"), "q", "percorso", "id", "punteggio"))
+    # ties: by the chunk's id in a ranking of chunks, by the path in a fused one
+    rows = rows.withColumn("o", F.struct("id", "percorso"))
+    return E.score_metrics(E.relevant(rows, cases), ["modello", "q"], "o")
+
+
+def _searched(spark, folder, text, only=None, cut=0.5):
+    """The search over chunks and catalogue, by the hashing embedder: snippet, copies, and the identifier rule where it applies."""
+    chunks, files = _chunks(spark, folder), _catalogue(spark, folder)
+    embed = hashing_embedder(256)
+    index = chunks.join(C.copy_key(files), "percorso").select("id", "percorso", F.coalesce("testo", F.lit("")).alias("testo"), "chiave", embed("testo").alias("vettore"))
+    query = spark.range(1).select(F.lit(text).alias("t")).select(embed("t").alias("v")).first().v
+    copies = C.copies_per_text(files).select(F.col("impronta_testo").alias("chiave"), "copie")
+    return S.dense_search(index, query, 10, cut, copies, only)
+
+
+def _search_sql(text, only=None, cut=0.5, more=""):
+    asked = f"asked AS (SELECT 0 AS q, token, count(*) AS volte FROM (SELECT unnest({WORDS.format(repr(text))}) AS token) GROUP BY ALL)"
+    dense = _DENSE.format(w=WORDS.format("testo"))
+    inside = f"AND percorso IN ({only})" if only else ""
+    return f"""WITH {CUR}, {CH}, {more}docs AS (SELECT ch.id, ch.percorso, coalesce(testo, '') AS testo FROM ch JOIN cur USING (percorso)), {asked}, {dense},
+all_ AS (SELECT ch.id, ch.percorso, coalesce(testo, '') AS testo, CASE WHEN impronta_testo <> '' THEN impronta_testo WHEN impronta <> '' THEN impronta ELSE percorso END AS chiave, coalesce(dn.punteggio, 0) AS punteggio FROM ch JOIN cur USING (percorso) LEFT JOIN dn ON dn.id = ch.id),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY percorso ORDER BY round(punteggio, 9) DESC, id) AS r FROM all_) WHERE r = 1 {inside}),
+cut AS (SELECT * FROM best WHERE punteggio >= {0.0 if only else cut} * (SELECT max(punteggio) FROM best)),
+one AS (SELECT *, row_number() OVER (PARTITION BY chiave ORDER BY round(punteggio, 9) DESC, id) AS k, count(*) OVER (PARTITION BY chiave) - 1 AS altre FROM cut),
+cop AS (SELECT impronta_testo, count(*) AS copie FROM cur WHERE impronta_testo <> '' GROUP BY 1 HAVING count(*) > 1),
+f AS (SELECT one.*, greatest(coalesce(copie, 1) - 1, 0) + altre AS copie, {FLAT.format('testo')} AS piano FROM one LEFT JOIN cop ON chiave = impronta_testo WHERE k = 1)
+SELECT percorso AS path, {NAME.format('percorso')} AS nome, {FOLDER.format('percorso')} AS cartella, round(punteggio, 4) AS punteggio, CASE WHEN length(piano) > 180 THEN substring(piano, 1, 180) || '…' ELSE piano END AS frammento, copie FROM f ORDER BY round(f.punteggio, 9) DESC, id LIMIT 10"""
+
+
+@query(_search_sql("verbale di consegna del contratto"))
+def search_chunks(spark, folder):
+    """The whole search: best chunk of each file, cut, copies collapsed and counted, top ten with their snippets."""
+    return _searched(spark, folder, "verbale di consegna del contratto")
+
+
+_BOTH = f"SELECT percorso FROM hits WHERE (SELECT min(c) FROM (SELECT count(*) AS c FROM hits GROUP BY termine)) >= 1 AND (SELECT max(c) FROM (SELECT count(*) AS c FROM hits GROUP BY termine)) <= {_LIMIT} GROUP BY percorso HAVING count(DISTINCT termine) = 2"
+
+
+@query(f"WITH {CUR}, {CH}, {HITS.format(['0000010', '_0000010'])} {_BOTH}")
+def identifier_two_terms(spark, folder):
+    """Files with both terms of an identifier-like query, by path."""
+    return S.identifier_files(_chunks(spark, folder), _catalogue(spark, folder), "0000010 _0000010").orderBy("percorso")
+
+
+@query(_search_sql("0000010 _0000010", only=_BOTH, more=f"{HITS.format(['0000010', '_0000010'])}, "))
+def search_identifier(spark, folder):
+    """The whole search where the identifier rule applies: only files with all terms, and no cut."""
+    only = S.identifier_files(_chunks(spark, folder), _catalogue(spark, folder), "0000010 _0000010")
+    return _searched(spark, folder, "0000010 _0000010", only)
+
+
+@query(f"WITH {CUR}, {CH}, {HITS.format(['tresmasti', '0000010'])} SELECT termine, percorso FROM hits")
+def term_hits(spark, folder):
+    """Each file that has a term in a chunk or in its path."""
+    return S.term_counts(_chunks(spark, folder), _catalogue(spark, folder), ["tresmasti", "0000010"])
 
 
 @query("SELECT ricerca_id, count(*) AS risultati, round(max(punteggio), 4) AS primo, count(*) FILTER (punteggio >= 0.9 * m) AS sopra FROM (SELECT *, max(punteggio) OVER (PARTITION BY ricerca_id) AS m FROM (SELECT DISTINCT ricerca_id, path, punteggio FROM risultati)) GROUP BY ricerca_id")

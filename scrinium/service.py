@@ -47,29 +47,68 @@ def as_json(rows: DataFrame) -> DataFrame:
 
 
 def state(files: DataFrame, status: DataFrame, extensions: DataFrame) -> dict:
-    """Everything the panel shows; all of it a few rows."""
+    """Everything the panel shows: one row for each extension, whatever their number."""
     total = C.totals(files).first().asDict()
     return {
         "stato": {r.chiave: r.valore for r in status.collect()},
         "totali": total | {"duplicati": C.duplicate_count(files).first()[0]},
-        "estensioni": [r.asDict() for r in C.extension_statistics(files).limit(1000).collect()],
-        "attive": [r.asDict() for r in C.extension_activity(files, extensions).limit(1000).collect()],
+        "estensioni": [r.asDict() for r in C.extension_statistics(files).collect()],
+        "attive": [r.asDict() for r in C.extension_activity(files, extensions).collect()],
         "piu_grandi": [r.asDict() for r in C.largest(files).collect()],
     }
 
 
+def _lines(rows: DataFrame) -> None:
+    for line in as_json(rows).toLocalIterator():
+        print(json.dumps(json.loads(line.json), ensure_ascii=False))
+
+
 def main(args: list[str] | None = None) -> int:
-    """``python -m scrinium.service FOLDER QUERY``: run a registered query and print its rows as JSON lines."""
+    """Commands:
+
+    query FOLDER NAME [--n N]: all rows of a registered query as JSON lines, or the first N
+    index STORE CONFIG: bring a store up to date with the folders of a configuration
+    search STORE TEXT [--n N] [--cut C]: search a store
+    serve STORE CONFIG [--port P]: the same over HTTP
+
+    The last three embed by a model server (--url, --model), or by hashed words without one.
+    """
+    from scrinium import config
+    from scrinium.functions.vectors import hashing_embedder
+    from scrinium.plans.incremental import Store, run
     from scrinium.registry import queries
-
-    parser = argparse.ArgumentParser(prog="scrinium")
-    parser.add_argument("folder")
-    parser.add_argument("query", choices=sorted(queries()))
-    parser.add_argument("--n", default=None)
-    own = parser.parse_args(args)
+    from scrinium.sources.embedder import column_embedder, query_vector
+
+    parser = argparse.ArgumentParser(prog="scrinium", description=main.__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    commands = parser.add_subparsers(dest="command", required=True)
+    for name, places in (("query", ("folder", "name")), ("index", ("store", "config")), ("search", ("store", "text")), ("serve", ("store", "config"))):
+        own = commands.add_parser(name)
+        for place in places:
+            own.add_argument(place, **({"choices": sorted(queries())} if place == "name" else {}))
+        own.add_argument("--n", type=int if name == "query" else str, default=None)
+        own.add_argument("--cut", default=None)
+        own.add_argument("--url", default=None)
+        own.add_argument("--model", default="bge-m3")
+        own.add_argument("--port", type=int, default=8787)
+    given = parser.parse_args(args)
     spark = SparkSession.builder.appName("scrinium").getOrCreate()
-    for line in as_json(queries()[own.query](spark, own.folder)).limit(S.result_limit(own.n)).collect():
-        print(json.dumps(json.loads(line.json), ensure_ascii=False))
+    if given.command == "query":
+        rows = queries()[given.name](spark, given.folder)
+        _lines(rows if given.n is None else rows.limit(given.n))
+        return 0
+    column = column_embedder(given.url, given.model) if given.url else hashing_embedder(256)
+    one = (lambda t: query_vector(given.url, given.model, t)) if given.url else (lambda t: spark.createDataFrame([(t,)], "t string").select(column("t").alias("v")).first().v)
+    store = Store(spark, given.store)
+    if given.command == "index":
+        own = config.load(given.config)
+        _lines(run(store, own["radici"], own["estensioni_attive"], own["esclusioni"], column))
+    elif given.command == "search":
+        files, chunks = store.read("files"), store.read("chunks")
+        _lines(search(chunks.join(C.copy_key(files), "percorso"), chunks, files, one, given.text, given.n, given.cut))
+    else:
+        from scrinium.http import Engine, server
+
+        server(Engine(store, one, column, given.config), given.port).serve_forever()
     return 0
 
 

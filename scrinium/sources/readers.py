@@ -7,6 +7,7 @@ reader or hook takes is reported as such, never dropped silently.
 
 from __future__ import annotations
 
+import datetime
 import email
 import email.policy
 import html
@@ -17,6 +18,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,8 +81,23 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def _joined(element: ET.Element, wanted: str = "t") -> str:
-    return "".join(e.text or "" for e in element.iter() if _local(e.tag) == wanted)
+#: What stands for a tab and for a break in office markup, and what holds settings instead of text.
+_SIGNS = {"tab": "\t", "br": "\n", "cr": "\n"}
+_SETTINGS = frozenset({"pPr", "rPr", "sectPr", "tblPr", "del", "instrText", "rPh", "phoneticPr"})
+
+
+def _joined(element: ET.Element) -> str:
+    """The text of a paragraph, with its tabs and breaks."""
+    out = []
+    for e in element:
+        name = _local(e.tag)
+        if name == "t":
+            out.append(e.text or "")
+        elif name in _SIGNS:
+            out.append(_SIGNS[name])
+        elif name not in _SETTINGS:
+            out.append(_joined(e))
+    return "".join(out)
 
 
 def word(content: bytes) -> str:
@@ -106,6 +123,8 @@ def sheets(content: bytes) -> str:
             targets = {e.get("Id"): e.get("Target", "").lstrip("/") for e in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         out = []
         book = ET.fromstring(z.read("xl/workbook.xml"))
+        dated = _dated(z.read("xl/styles.xml") if "xl/styles.xml" in names else None)
+        start = 1904 if any(_local(e.tag) == "workbookPr" and e.get("date1904") in ("1", "true") for e in book) else 1899
         for k, sheet in enumerate((e for e in book.iter() if _local(e.tag) == "sheet"), 1):
             link = next((v for a, v in sheet.attrib.items() if _local(a) == "id"), None)
             at = targets.get(link, f"worksheets/sheet{k}.xml")
@@ -114,28 +133,62 @@ def sheets(content: bytes) -> str:
             if at not in names:
                 continue
             for row in (e for e in ET.fromstring(z.read(at)).iter() if _local(e.tag) == "row"):
-                cells = [c for c in (_cell(e, shared) for e in row if _local(e.tag) == "c") if c is not None]
+                cells = [c for c in (_cell(e, shared, dated, start) for e in row if _local(e.tag) == "c") if c is not None]
                 if cells:
                     out.append(" | ".join(cells))
     return "\n".join(out)
 
 
-def _cell(cell: ET.Element, shared: list[str]) -> str | None:
+def _dated(styles: bytes | None) -> set[int]:
+    """Numbers of the cell styles that show a date or a time."""
+    if styles is None:
+        return set()
+    root = ET.fromstring(styles)
+    # Formats that are dates or times without being written out.
+    dates = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+    for e in root.iter():
+        if _local(e.tag) == "numFmt" and re.search(r"[dmyhs]", re.sub(r'"[^"]*"|\\.|\[(?!h|m|s)[^\]]*\]|_.|\*.', "", e.get("formatCode", "").lower())):
+            dates.add(int(e.get("numFmtId", -1)))
+    cells = next((e for e in root if _local(e.tag) == "cellXfs"), [])
+    return {k for k, e in enumerate(cells) if int(e.get("numFmtId", 0)) in dates}
+
+
+def _date(value: str, start: int) -> str:
+    """A serial number of days as date and time, less than one as a time."""
+    days = float(value)
+    if 0 <= days < 1:
+        return str((datetime.datetime(1900, 1, 1) + datetime.timedelta(milliseconds=round(days * 86_400_000))).time())
+    days += 1 if start == 1899 and days < 60 else 0  # the calendar of the format has a 29 February 1900
+    return str((datetime.datetime(1904, 1, 1) if start == 1904 else datetime.datetime(1899, 12, 30)) + datetime.timedelta(milliseconds=round(days * 86_400_000)))
+
+
+def _cell(cell: ET.Element, shared: list[str], dated: set[int], start: int) -> str | None:
     value = next((e.text for e in cell if _local(e.tag) == "v"), None)
-    kind = cell.get("t")
+    kind = cell.get("t", "n")
     if kind == "inlineStr":
         return _joined(cell) or None
     if value is None:
         return None
     if kind == "s":
         return shared[int(value)]
+    if kind == "n" and int(cell.get("s", 0)) in dated:
+        try:
+            return _date(value, start)
+        except (ValueError, OverflowError):
+            return value
     return {"1": "True", "0": "False"}.get(value, value) if kind == "b" else value
 
 
 def slides(content: bytes) -> str:
     """Text frames of all slides, in order; no tables, notes or groups."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        found = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+        names = set(z.namelist())
+        found = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+        if {"ppt/presentation.xml", "ppt/_rels/presentation.xml.rels"} <= names:  # the order in which they are shown
+            targets = {e.get("Id"): e.get("Target", "").lstrip("/") for e in ET.fromstring(z.read("ppt/_rels/presentation.xml.rels"))}
+            shown = [next((v for a, v in e.attrib.items() if a.startswith("{") and _local(a) == "id"), None) for e in ET.fromstring(z.read("ppt/presentation.xml")).iter() if _local(e.tag) == "sldId"]
+            parts = [t if t.startswith("ppt/") else f"ppt/{t}" for t in (targets.get(k, "") for k in shown)]
+            found = [n for n in parts if n in names] or found
         lines = []
         for name in found:
             root = ET.fromstring(z.read(name))
@@ -178,8 +231,16 @@ def presentation(content: bytes) -> str:
         from keynote_parser.codec import IWAFile
     except ImportError as error:
         raise Unsupported("no library for this archive") from error
+    found, broken = [], 0
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        return "\n".join(prose_strings([IWAFile.from_buffer(z.read(n), n).to_dict() for n in sorted(z.namelist()) if n.endswith(".iwa")]))
+        for name in sorted(n for n in z.namelist() if n.endswith(".iwa")):
+            try:
+                found.append(IWAFile.from_buffer(z.read(name), name).to_dict())
+            except Exception:  # noqa: BLE001 - a part that can't be read doesn't take the others with it
+                broken += 1
+    if broken and not found:
+        raise ValueError("no part of the archive can be read")
+    return "\n".join(prose_strings(found))
 
 
 def spreadsheet_package(content: bytes) -> str:
@@ -249,6 +310,16 @@ def read_one(ext: str, content: bytes, readers: dict[str, Reader], recognise: Ca
         return f"{type(error).__name__}: {error}"[:300], False, UNREADABLE
 
 
+def read_bytes(path: str) -> bytes:
+    """A file's content; a path with a scheme (an object store, HDFS) is opened by the Arrow file system of that scheme."""
+    if "://" in path:
+        files, inner = pa.fs.FileSystem.from_uri(path)
+        with files.open_input_stream(inner, compression=None) as f:
+            return f.read()
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def scan(spark: SparkSession, roots: list[str]) -> DataFrame:
     """(percorso, mtime, dimensione) of all files below the roots; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
@@ -280,11 +351,10 @@ def extract(spark: SparkSession, paths: DataFrame, readers: dict[str, Reader] |
         for batch in batches:
             for path, mtime, size, ext in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    with open(path, "rb") as f:
-                        content = f.read()
+                    content = read_bytes(path)
                     text, ocr, state = read_one(ext, content, table, recognise)
                     digest = hashlib.sha256(content).hexdigest()
-                except OSError as error:
+                except (OSError, pa.ArrowInvalid) as error:
                     text, ocr, state, digest = str(error)[:300], False, UNREADABLE, None
                 yield pa.RecordBatch.from_pylist([{"percorso": path, "mtime": mtime, "dimensione": size, "impronta": digest, "testo": text, "ocr": ocr, "stato": state}], schema=pa.schema([("percorso", pa.string()), ("mtime", pa.float64()), ("dimensione", pa.int64()), ("impronta", pa.string()), ("testo", pa.string()), ("ocr", pa.bool_()), ("stato", pa.string())]))
 

@@ -160,3 +160,64 @@ def test_followed_catalogue(spark, tmp_path):
     q = recent_searches(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "s"))).writeStream.format("memory").queryName("cercate").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.ricerche for r in spark.table("cercate").collect()) == [1, 1]
+
+
+def _archive(parts):
+    import io
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return held.getvalue()
+
+
+def test_office_text_keeps_tabs_breaks_dates_and_order(spark, tmp_path):
+    w = 'xmlns:w="urn:w"'
+    word = _archive({"word/document.xml": f'<w:document {w}><w:body><w:p><w:pPr><w:tabs><w:tab w:val="left"/></w:tabs></w:pPr><w:r><w:t>Nome</w:t><w:tab/><w:t>Cognome</w:t><w:br/><w:t>Via</w:t></w:r></w:p></w:body></w:document>'})
+    assert R.word(word) == "Nome\tCognome\nVia"
+    sheet = '<worksheet><sheetData><row><c s="1"><v>44197</v></c><c s="2"><v>44197.5</v></c><c s="0"><v>44197</v></c><c s="2"><v>0.25</v></c><c t="inlineStr"><is><t>a</t></is></c></row></sheetData></worksheet>'
+    styles = '<styleSheet><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy hh:mm"/><numFmt numFmtId="171" formatCode="0.0 &quot;mesi&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>'
+    book = _archive({"xl/workbook.xml": '<workbook><sheets><sheet name="Uno"/></sheets></workbook>', "xl/worksheets/sheet1.xml": sheet, "xl/styles.xml": styles})
+    assert R.sheets(book) == "# foglio: Uno\n2021-01-01 00:00:00 | 2021-01-01 12:00:00 | 44197 | 06:00:00 | a"
+    slide = "<p:sld xmlns:p='urn:p' xmlns:a='urn:a'><p:spTree><p:sp><p:txBody><a:p><a:r><a:t>{0}</a:t></a:r><a:br/><a:r><a:t>sotto</a:t></a:r></a:p></p:txBody></p:sp></p:spTree></p:sld>"
+    rels = '<Relationships><Relationship Id="r1" Target="slides/slide1.xml"/><Relationship Id="r2" Target="slides/slide2.xml"/></Relationships>'
+    deck = _archive({"ppt/slides/slide1.xml": slide.format("prima"), "ppt/slides/slide2.xml": slide.format("seconda"), "ppt/presentation.xml": '<p:presentation xmlns:p="urn:p" xmlns:r="urn:r"><p:sldIdLst><p:sldId id="256" r:id="r2"/><p:sldId id="257" r:id="r1"/></p:sldIdLst></p:presentation>', "ppt/_rels/presentation.xml.rels": rels})
+    assert R.slides(deck) == "seconda\nsotto\nprima\nsotto"
+    # through a plan, and by a path with a scheme
+    for name, content in (("a.docx", word), ("b.xlsx", book), ("c.pptx", deck)):
+        (tmp_path / name).write_bytes(content)
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}", 0.0, 1) for n in ("a.docx", "b.xlsx", "c.pptx", "manca.txt")], "percorso string, mtime double, dimensione long")
+    got = {r.percorso.rsplit("/", 1)[1]: (r.stato, r.testo) for r in R.extract(spark, paths).collect()}
+    assert got["a.docx"] == (R.READ, "Nome\tCognome\nVia") and got["c.pptx"] == (R.READ, "seconda\nsotto\nprima\nsotto") and got["b.xlsx"][0] == R.READ and got["manca.txt"][0] == R.UNREADABLE
+
+
+def test_state_has_every_extension_and_a_query_all_rows(spark, tmp_path, capsys):
+    from scrinium import registry, service
+
+    rows = [(f"/a/f.e{k}", 1.0, 1, "h", 1, 0, 1.0, "", "1") for k in range(1500)]
+    files = spark.createDataFrame(rows, "percorso string, mtime double, dimensione long, impronta string, n_chunk int, ocr int, visto_a double, impronta_testo string, versione string")
+    status = spark.createDataFrame([("in_corso", "0")], "chiave string, valore string")
+    state = service.state(files, status, spark.createDataFrame([("txt",)], "estensione string"))
+    assert len(state["estensioni"]) == 1500 and len(state["attive"]) == 1501
+    spark.createDataFrame([(f"k{k}", "v") for k in range(60)], "chiave string, valore string").write.parquet(f"{tmp_path}/stato.parquet")
+    assert service.main(["query", str(tmp_path), "status"]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 60
+    assert service.main(["query", str(tmp_path), "status", "--n", "7"]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 7 and "status" in registry.queries()
+
+
+def test_commands_index_and_search(spark, tmp_path, capsys):
+    import json
+
+    from scrinium import service
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.txt").write_text("il contratto di locazione")
+    (tmp_path / "docs" / "b.txt").write_text("ricetta della torta")
+    (tmp_path / "c.json").write_text(json.dumps({"radici": [str(tmp_path / "docs")], "estensioni_attive": [".txt"], "esclusioni": []}))
+    assert service.main(["index", str(tmp_path / "store"), str(tmp_path / "c.json")]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"azione": "indicizzato", "file": 2}
+    assert service.main(["search", str(tmp_path / "store"), "contratto di locazione"]) == 0
+    assert [json.loads(x)["nome"] for x in capsys.readouterr().out.splitlines()] == ["a.txt"]
