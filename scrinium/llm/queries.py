@@ -47,6 +47,15 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunk").select("id", "percorso", "n", "testo"))
 
 
+def p3_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of each chunk must keep: all of the text, the limit, the overlap, and their order."""
+    pieces = splitting.split_oversized(table(spark, folder, "chunk").select("id", "testo").distinct())
+    new = F.substring("testo", F.col("ripetuti") + 1, F.length("testo"))
+    rows = pieces.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pezzo", new.alias("t")))).alias("p"), F.max(F.length("testo")).alias("massimo"), F.max("ripetuti").alias("ripetuti"), F.count_if((F.col("pezzo") > 0) & (F.col("ripetuti") == 0)).alias("senza"))
+    # a group has the pieces of one text
+    return rows.select("id", F.md5(F.array_join(F.transform("p", lambda x: x["t"]), "")).alias("impronta"), (F.col("massimo") <= splitting.LIMIT).alias("entro"), (F.col("ripetuti") <= splitting.OVERLAP).alias("ripetuti_entro"), (F.col("senza") == 0).alias("tutti_ripetono"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks of which one is among the other's five most similar."""
     return neighbours.neighbour_pairs(neighbours.nearest_vectors(table(spark, folder, "chunk")))
@@ -93,6 +102,12 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.not_prose(_judged(spark, folder))
 
 
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The figures of every document that need no look at its lines."""
+    figures = quality.statistics(table(spark, folder, "documents").select("doc_id", "text"), [])
+    return figures.select("doc_id", F.col("parole").cast("long").alias("parole"), *(F.round(c, 6).alias(c) for c in ("lunghezza_media", "quota_simboli", "quota_cifre", "quota_lettere")))
+
+
 def p8_figures(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's figures, rule and verdict."""
     return _judged(spark, folder)
@@ -145,8 +160,25 @@ FROM chunk WHERE length(testo) > 2500 GROUP BY id
 """
 
 
+P3_COVER_SQL = "SELECT DISTINCT id, md5(testo) AS impronta, true AS entro, true AS ripetuti_entro, true AS tutti_ripetono FROM chunk WHERE testo IS NOT NULL"
+
+P5_CLASSES_SQL = r"""
+WITH texts AS (SELECT testo, min(id) AS classe FROM chunk WHERE testo IS NOT NULL GROUP BY testo), words AS (SELECT classe, regexp_extract_all(lower(testo), '[\p{L}\p{N}_]+') AS w FROM texts),
+sets AS (SELECT classe, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM words WHERE len(w) >= 60),
+sizes AS (SELECT classe, count(*) AS n FROM sets GROUP BY classe), shared AS (SELECT a.classe AS a, b.classe AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.classe < b.classe GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.classe = a JOIN sizes y ON y.classe = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9), n AS (SELECT classe, count(*) AS legami FROM (SELECT a AS classe FROM links UNION ALL SELECT b FROM links) GROUP BY classe)
+SELECT DISTINCT chunk.id, texts.classe, coalesce(legami, 0) AS legami FROM chunk JOIN texts USING (testo) JOIN sizes ON sizes.classe = texts.classe LEFT JOIN n ON n.classe = texts.classe
+"""
+
+P8_SHARES_SQL = r"""
+WITH f AS (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^\p{L}\p{M}]+', '', 'g')) AS l, length(regexp_replace(text, '[^\p{N}]+', '', 'g')) AS d, length(regexp_replace(text, '[^\s\x0B]+', '', 'g')) AS s, len(regexp_extract_all(text, '[\p{L}\p{M}]+')) AS w FROM documents)
+SELECT doc_id, w AS parole, round(CASE WHEN n IS NULL THEN NULL WHEN w > 0 THEN l / w ELSE 0 END, 6) AS lunghezza_media, round(CASE WHEN n IS NULL THEN NULL WHEN n > 0 THEN (n - l - d - s) / n ELSE 0 END, 6) AS quota_simboli,
+round(CASE WHEN n IS NULL THEN NULL WHEN n > 0 THEN d / n ELSE 0 END, 6) AS quota_cifre, round(CASE WHEN n IS NULL THEN NULL WHEN n > 0 THEN l / n ELSE 0 END, 6) AS quota_lettere FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_classes, p2_forms, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_classes, p6_ids, p7_found, p7_containers, p8_found, p8_figures)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_classes, p2_forms, p3_found, p3_pieces, p3_cover, p4_found, p4_neighbours, p5_found, p5_classes, p6_ids, p7_found, p7_containers, p8_found, p8_figures, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -155,5 +187,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_classes": P2_CLASSES_SQL,
         "p2_forms": f"SELECT id, CASE WHEN testo IS NOT NULL THEN t END AS forma FROM ({_form_sql('chunk')})",
         "p3_found": P3_SQL,
+        "p3_cover": P3_COVER_SQL,
         "p5_found": P5_SQL,
+        "p5_classes": P5_CLASSES_SQL,
+        "p8_shares": P8_SHARES_SQL,
     }

@@ -119,7 +119,8 @@ def _pieces(limit: int, overlap: int):
             out.append([{"n": n, "testo": text[start:b], "inizio": a, "ripetuti": a - start, "forzato": forced} for n, (a, b, forced, start) in enumerate(split_text(text, limit, overlap))])
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(cut, _PIECES)
+    # else the cut would be made once more for a filter on the number of pieces
+    return F.pandas_udf(cut, _PIECES).asNondeterministic()
 
 
 def split_oversized(df: DataFrame, text: str = "testo", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
