@@ -92,7 +92,7 @@ def batch_search(index: DataFrame, queries: DataFrame, k: int = 10, vector: str
 
     The queries come as matrices, as many at once as ``QUERY_BYTES`` allow; each task passes once over its part of the
     index in blocks of ``block`` queries and keeps its own best, so only k rows a query and task are shuffled.  A row is
-    no match of a query with its own id (q = id).
+    no match of a query with its own id (q = id); scores that are equal to nine digits go by id.
     """
     spark = index.sparkSession
     asked = queries.select(F.col("q").cast("long").alias("q"), F.col(vector).alias("v")).filter("v IS NOT NULL AND size(v) > 0")
@@ -126,7 +126,7 @@ def _best_of_part(held, k: int, block: int):
             m = min(k, len(xid))
             best, score = np.empty((len(qid), m), np.int64), np.empty((len(qid), m))
             for a in range(0, len(qid), block):
-                s = np.nan_to_num(qv[a : a + block] @ xv.T, nan=-np.inf)
+                s = np.round(np.nan_to_num(qv[a : a + block] @ xv.T, nan=-np.inf), 9)
                 s[qid[a : a + block, None] == xid] = -np.inf
                 top = np.argpartition(-s, m - 1, axis=1)[:, :m]
                 best[a : a + block], score[a : a + block] = xid[top], np.take_along_axis(s, top, 1)

@@ -13,7 +13,7 @@ from scrinium.operators import catalogue as C
 from scrinium.operators import evaluate as E
 from scrinium.operators import lexical as L
 from scrinium.operators import search as S
-from scrinium.sources.readers import VERSIONS
+from scrinium.sources.readers import PACKAGE_PART, VERSIONS, without_packages
 from scrinium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,11 +130,24 @@ def vector_norms(spark, folder):
     return table(spark, folder, "embeddings").groupBy("label").agg(F.count("*").alias("righe"), F.round(F.avg(norm(F.col("embedding"))), 6).alias("norma"))
 
 
-@query()
+#: Unit vectors of the chunk table's bytes: little-endian float32, put together from their bits.
+_UNIT = """bits AS (SELECT id, list_transform(range(0, 64), lambda i: ('0x' || substr(h, 8 * i + 7, 2) || substr(h, 8 * i + 5, 2) || substr(h, 8 * i + 3, 2) || substr(h, 8 * i + 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT id, hex(vettore) AS h FROM chunk WHERE octet_length(vettore) = 256)),
+real_ AS (SELECT id, list_transform(b, lambda x: (CASE WHEN x >= 2147483648 THEN -1 ELSE 1 END) * (CASE (x >> 23) & 255 WHEN 0 THEN (x & 8388607) * pow(2, -149) WHEN 255 THEN NULL ELSE ((x & 8388607) + 8388608) * pow(2, ((x >> 23) & 255) - 150) END)) AS v FROM bits),
+unit AS (SELECT id, list_transform(v, lambda x: x / n) AS u FROM (SELECT id, v, CASE WHEN len(list_filter(v, lambda x: x IS NULL)) = 0 THEN sqrt(list_sum(list_transform(v, lambda x: x * x))) ELSE 0 END AS n FROM real_) WHERE n > 0)"""
+
+
+@query(f"WITH {_UNIT} SELECT id, round(u[1], 6) AS prima, round(u[64], 6) AS ultima, round(list_dot_product(u, u), 6) AS norma FROM unit")
+def chunk_vectors(spark, folder):
+    """Valid vectors of the chunk table, decoded and brought to unit length."""
+    rows = table(spark, folder, "chunk").select("id", "vettore").dropDuplicates(["id"]).select("id", unit_from_bytes(64)("vettore").alias("v")).filter("v IS NOT NULL")
+    return rows.select("id", F.round(F.col("v")[0], 6).alias("prima"), F.round(F.col("v")[63], 6).alias("ultima"), F.round(dot(F.col("v"), F.col("v")), 6).alias("norma"))
+
+
+@query(f"WITH {_UNIT}, s AS (SELECT a.id AS q, b.id, round(list_dot_product(a.u, b.u), 9) AS p FROM unit a, unit b WHERE a.id % 100 = 0 AND a.id <> b.id) SELECT q, id, round(p, 4) AS punteggio, posto FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY p DESC, id) AS posto FROM s) WHERE posto <= 5")
 def dense_search_chunks(spark, folder):
     """The search over the chunk table itself, in batches: every id divisible by 100 against all rows."""
     rows = table(spark, folder, "chunk").select("id", "vettore").dropDuplicates(["id"]).select("id", unit_from_bytes(64)("vettore").alias("vettore"))
-    return S.batch_search(rows, rows.filter("id % 100 = 0").select(F.col("id").alias("q"), "vettore"), 5)
+    return S.batch_search(rows, rows.filter("id % 100 = 0").select(F.col("id").alias("q"), "vettore"), 5).withColumn("punteggio", F.round("punteggio", 4))
 
 
 # ---------------------------------------------------------------- texts
@@ -165,6 +178,12 @@ def snippets(spark, folder):
     return table(spark, folder, "documents").select("doc_id", T.snippet(F.col("text")).alias("frammento"))
 
 
+@query(f"SELECT doc_id, CASE WHEN length(f) > 100 THEN substring(f, 1, 100) || '…' ELSE f END AS frammento FROM (SELECT doc_id, {FLAT.format('text')} AS f FROM documents)")
+def short_snippets(spark, folder):
+    """The snippet of the ranking report."""
+    return table(spark, folder, "documents").select("doc_id", T.snippet(F.col("text"), 100).alias("frammento"))
+
+
 @query(f"SELECT doc_id, len({WORDS.format('text')})::INT AS parole FROM documents WHERE text IS NOT NULL")
 def word_counts(spark, folder):
     return table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", F.size(T.words(F.col("text"))).alias("parole"))
@@ -177,12 +196,12 @@ def prose_filter(spark, folder):
     return lines.filter(T.is_prose(F.col("riga")))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS testo FROM documents WHERE contains(text, '<')""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS testo FROM documents""")
 def strip_tags(spark, folder):
-    return table(spark, folder, "documents").filter(F.contains("text", F.lit("<"))).select("doc_id", T.without_tags(F.col("text")).alias("testo"))
+    return table(spark, folder, "documents").select("doc_id", T.without_tags(F.col("text")).alias("testo"))
 
 
-@query()
+@query(r"""SELECT doc_id, replace(replace(replace(replace(regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&amp;', '&') AS testo FROM documents""")
 def html_texts(spark, folder):
     return table(spark, folder, "documents").select("doc_id", T.html_text(F.col("text")).alias("testo"))
 
@@ -236,6 +255,14 @@ def listing_filter(spark, folder):
     return _listed(spark, folder)
 
 
+@query(f"WITH p AS (SELECT {FOLDER.format('min(percorso)')} AS cartella FROM files WHERE percorso IS NOT NULL) SELECT DISTINCT percorso FROM files, p WHERE percorso IS NOT NULL AND NOT starts_with(percorso, cartella || '/')")
+def unpacked_packages(spark, folder):
+    """Paths without those of an unpacked office package: the folder of the first path is made one by a content-types part."""
+    paths = table(spark, folder, "files").filter("percorso IS NOT NULL").select("percorso").distinct()
+    part = paths.agg(F.concat(T.dirname(F.min("percorso")), F.lit(f"/{PACKAGE_PART}")).alias("percorso"))
+    return without_packages(paths.unionByName(part))
+
+
 @query(f"WITH {LISTED} SELECT DISTINCT percorso FROM files WHERE percorso IS NOT NULL AND percorso NOT IN (SELECT percorso FROM listed)")
 def vanished(spark, folder):
     """Paths that a scan with the configuration no longer finds."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _META = "path string, testo string, nome string, impronta string"
@@ -18,8 +18,11 @@ def load_index(spark: SparkSession, prefix: str, rows_at_once: int = 50_000) ->
     """
     matrix = np.load(f"{prefix}.npy", mmap_mode="r")
     n = len(matrix)
-    lines = spark.read.text(f"{prefix}.meta.jsonl", wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("id", "riga"))
-    meta = lines.filter("riga <> ''").select(F.col("id").cast("long").alias("id"), F.from_json("riga", _META).alias("m"))
+    # lines are numbered within their partition, and moved on by the lines of the partitions before
+    parts = spark.read.text(f"{prefix}.meta.jsonl").select(F.col("value").alias("riga"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_k"))
+    before = parts.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
+    lines = parts.join(before, "_p").select((F.col("_b") + F.col("_k")).alias("id"), "riga")
+    meta = lines.filter("riga <> ''").select("id", F.from_json("riga", _META).alias("m"))
     if meta.count() != n:
         raise ValueError("the matrix and its metadata have different numbers of rows")
     starts = spark.range(0, n, rows_at_once)
