@@ -122,3 +122,35 @@ def test_places_are_those_of_one_sort(spark):
         order = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
         assert [got[q, r[1]] for r in order] == list(range(1, len(order) + 1))
     assert S.ranked(df.limit(0), ["q"]).count() == 0
+
+
+def test_measures_without_places_are_those_of_placed_rankings(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(f"q{rng.randint(0, 3)}", f"/p{k}", k, float(rng.randint(1, 30)), rng.random() < 0.05) for k in range(900)] + [("solo", "/x", 9000, 1.0, False)]
+    df = spark.createDataFrame(rows, "q string, percorso string, id long, punteggio double, pertinente boolean")
+    want = {r.q: tuple(r)[1:] for r in E.metrics(S.ranked(df, ["q"]), None).collect()}
+    assert {r.q: tuple(r)[1:] for r in E.score_metrics(df, ["q"]).collect()} == want
+    for cut in (1.0, 0.9, 0.5):
+        for r in E.score_metrics(df, ["q"], cuts=[1.0, 0.9, 0.5]).filter(F.col("alfa") == cut).collect():
+            own = sorted((x for x in rows if x[0] == r.q), key=lambda x: (-x[3], x[2]))
+            own = [x for x in own if cut == 1 or x[3] >= own[0][3] * cut]
+            first = next((k for k, x in enumerate(own, 1) if x[4]), None)
+            assert (r.primo, r.pertinenti, r.restituiti) == (first, sum(x[4] for x in own[:8]), len(own[:8]))
+    assert E.score_metrics(df.limit(0), ["q"]).count() == 0
+
+
+def test_batch_search_in_several_passes(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(60)] + [(70, [])], "id long, vettore array<double>").repartition(3)
+    asked = rows.filter("id < 20").select(F.col("id").alias("q"), "vettore")
+    one = sorted(map(tuple, S.batch_search(rows, asked, 3).collect()))
+    monkeypatch.setattr(S, "QUERY_BYTES", 100)
+    assert sorted(map(tuple, S.batch_search(rows, asked, 3).collect())) == one and len(one) == 60
+    assert S.batch_search(rows, asked.limit(0), 3).count() == 0 and S.batch_search(rows.limit(0), asked, 3).count() == 0
+
+
+def test_sides_are_broadcast_only_when_small(spark):
+    df = spark.range(50)
+    assert "strategy=broadcast" in S.if_small(df, 50)._jdf.queryExecution().toString()
+    assert "strategy=broadcast" not in S.if_small(df, 49)._jdf.queryExecution().toString()
