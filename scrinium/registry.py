@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrinium.durable import durable
 from scrinium.functions import text as T
 from scrinium.functions.vectors import dot, hashing_embedder, norm, unit_from_bytes
 from scrinium.operators import catalogue as C
@@ -403,10 +404,6 @@ def _lexical(spark, folder):
     return L.searchable(_chunks(spark, folder)), table(spark, folder, "casi")
 
 
-def _bm25_files(spark, folder):
-    return L.best_files(_bm25_scores(spark, folder))
-
-
 def _bm25_scores(spark, folder):
     return L.bm25(*_lexical(spark, folder)).withColumn("punteggio", F.round("punteggio", 9))
 
@@ -447,6 +444,15 @@ def _dense_scores(spark, folder):
     return docs.select("id", "percorso", embed("testo").alias("e")).crossJoin(asked).select("q", "id", "percorso", F.round(dot(F.col("e"), F.col("v")), 9).alias("punteggio"))
 
 
+def _dense_best(spark, folder):
+    """Each file's best chunk; scores are made once, since a ranking and its measures read them several times."""
+    return durable(L.scored_files(_dense_scores(spark, folder)))
+
+
+def _bm25_best(spark, folder):
+    return durable(L.scored_files(_bm25_scores(spark, folder)))
+
+
 def _dense_files(spark, folder, k=None):
     return L.best_files(_dense_scores(spark, folder), k)
 
@@ -459,7 +465,7 @@ def text_search(spark, folder):
 
 @query(f"WITH {BM25}, {DENSE}, both_ AS (SELECT q, percorso, posto FROM bf WHERE punteggio > 0 UNION ALL SELECT q, percorso, posto FROM df_ WHERE punteggio > 0) SELECT q, percorso, round(sum(1 / (60 + posto)), 7) AS punteggio FROM both_ GROUP BY ALL")
 def rank_fusion(spark, folder):
-    return L.fused(_bm25_files(spark, folder), _dense_files(spark, folder)).withColumn("punteggio", F.round("punteggio", 7))
+    return L.fused(S.ranked(_bm25_best(spark, folder), ["q"]), S.ranked(_dense_best(spark, folder), ["q"])).withColumn("punteggio", F.round("punteggio", 7))
 
 
 @query(f"WITH {BM25}, {DENSE}, {FREQ.replace('asked AS', 'asked2 AS').replace('size AS', 'size2 AS').replace('FROM hits, size GROUP', 'FROM hits, size2 GROUP')} SELECT df_.q, df_.percorso, round(punteggio + 0.1 * coalesce(g / m, 0), 6) AS punteggio FROM df_ LEFT JOIN gain USING (q, percorso) LEFT JOIN top USING (q) WHERE punteggio > 0")
@@ -475,7 +481,7 @@ _METRICS = "min(posto) FILTER (p) AS primo, count(*) FILTER (p AND posto <= 8) A
 
 @query(f"WITH {BM25}, {CASES}, r AS (SELECT *, {RELEVANT} AS p FROM bf JOIN cases USING (q) WHERE punteggio > 0) SELECT q, {_METRICS} FROM r GROUP BY q")
 def evaluate_bm25(spark, folder):
-    return E.score_metrics(E.relevant(L.scored_files(_bm25_scores(spark, folder)), table(spark, folder, "casi")), ["q"])
+    return E.score_metrics(E.relevant(_bm25_best(spark, folder), table(spark, folder, "casi")), ["q"])
 
 
 @query(f"""WITH {BM25}, {DENSE}, {CASES}, {FREQ.replace("asked AS", "asked2 AS").replace("size AS", "size2 AS").replace("FROM hits, size GROUP", "FROM hits, size2 GROUP")},
@@ -485,7 +491,7 @@ c AS (SELECT * FROM (SELECT *, max(s) OVER (PARTITION BY q, alfa, beta) AS m FRO
 r AS (SELECT *, {RELEVANT} AS p FROM (SELECT *, row_number() OVER (PARTITION BY q, alfa, beta ORDER BY s DESC, percorso) AS posto FROM c) JOIN cases USING (q)) SELECT q, alfa, beta, {_METRICS} FROM r GROUP BY q, alfa, beta""")
 def parameter_sweep(spark, folder):
     cases = table(spark, folder, "casi")
-    plain = L.scored_files(_dense_scores(spark, folder))
+    plain = _dense_best(spark, folder)
     gain = L.boosted(plain.withColumn("punteggio", F.lit(0.0)), L.file_frequency(_chunks(spark, folder), cases), cases, 1.0).select("q", "percorso", F.col("punteggio").alias("guadagno"))
     boosts = F.explode(F.array([F.lit(b) for b in (0.0, 0.05, 0.1)])).alias("beta")
     rows = E.relevant(plain, cases).join(gain, ["q", "percorso"], "left").select("q", "percorso", "pertinente", F.coalesce("guadagno", F.lit(0.0)).alias("g"), "punteggio", boosts)
@@ -495,7 +501,7 @@ def parameter_sweep(spark, folder):
 
 @query(f"WITH {BM25}, {DENSE}, {CASES}, r AS (SELECT 'lessicale' AS m, q, percorso, posto FROM bf WHERE punteggio > 0 UNION ALL SELECT 'denso', q, percorso, posto FROM df_ WHERE punteggio > 0), x AS (SELECT *, {RELEVANT} AS p FROM r JOIN cases USING (q)) SELECT q, min(posto) FILTER (p AND m = 'denso') AS denso, min(posto) FILTER (p AND m = 'lessicale') AS lessicale FROM x GROUP BY q")
 def model_comparison(spark, folder):
-    return E.compared({"denso": L.scored_files(_dense_scores(spark, folder)), "lessicale": L.scored_files(_bm25_scores(spark, folder))}, table(spark, folder, "casi"))
+    return E.compared({"denso": _dense_best(spark, folder), "lessicale": _bm25_best(spark, folder)}, table(spark, folder, "casi"))
 
 
 @query(f"""WITH {BM25}, {DENSE}, {CASES}, r AS (SELECT 'lessicale' AS modello, q, percorso, posto FROM bf WHERE punteggio > 0 UNION ALL SELECT 'denso', q, percorso, posto FROM df_ WHERE punteggio > 0),
@@ -504,7 +510,7 @@ x AS (SELECT *, {RELEVANT} AS p FROM (SELECT * FROM r UNION ALL SELECT * FROM h)
 def ranking_report(spark, folder):
     """The report of the three rankings: dense, lexical and fused, with the first relevant place and what the first eight hold."""
     cases = table(spark, folder, "casi")
-    rankings = {"denso": L.scored_files(_dense_scores(spark, folder)), "lessicale": L.scored_files(_bm25_scores(spark, folder))}
+    rankings = {"denso": _dense_best(spark, folder), "lessicale": _bm25_best(spark, folder)}
     mixed = L.fused(*(S.ranked(r, ["q"]) for r in rankings.values())).withColumn("punteggio", F.round("punteggio", 12))
     rows = mixed.select(F.lit("ibrido").alias("modello"), "q", "percorso", F.lit(0).cast("long").alias("id"), "punteggio")
     for name, r in rankings.items():
