@@ -17,19 +17,18 @@ from pyspark.sql import functions as F
 
 from scrinium.durable import durable
 from scrinium.functions.text import suffix
-from scrinium.sampling import bounded_sample
 from scrinium.sources.readers import IMAGES
 
-#: Clean rows that the editor is trained on, at most (a uniform sample by hash); their noise is made here.
+#: Clean rows that one editor is trained on; their noise is made here.  More rows train several, side by side, whose weights are averaged.
 TRAINING = 1_500
-#: Times that these are set on pages, each in its own way.
-PAGINATIONS = 3
+#: Times that these are set on pages, each in its own way, and rounds over the examples; many rows are seen fewer times each, but all are.
+PAGINATIONS = ROUNDS = 3
+#: Different words that one editor learns characters from.
+WORDS = 9_000
 #: Pieces of one file that are repaired together; those of the block before are read with them.
 BLOCK = 64
-#: Unknown words of scanned pages that are aligned with known ones, and rare clean words that they are held against, at most.
-ALIGNED = 20_000
-#: Clean words that they are aligned with, at most.
-KNOWN = 50_000
+#: Words that are aligned on the driver, at most; more are aligned by a join.
+ALIGNED = 50_000
 #: A confusion is learned if it explains so many unknown words, and so many times as large a share of them as of rare clean words.
 LEAST_SUPPORT, LIKELIER = 3, 8.0
 
@@ -58,6 +57,7 @@ class Perceptron:
         self._total: dict[str, float] = defaultdict(float)
         self._since: dict[str, int] = {}
         self._step = 0
+        self.examples = 0
 
     def score(self, features: list[str]) -> float:
         get = self.weights.get
@@ -222,15 +222,47 @@ def alignments(words: list[str], known: list[str]) -> Counter:
 def learned_confusions(unknown: list[str], rare: list[str], known: list[str]) -> dict[str, dict[str, int]]:
     """read -> right -> support: exchanges that unknown words of scanned pages need far more often than rare clean words do."""
     both = [*known, *(w.upper() for w in known if not any(c.isdigit() for c in w))]
-    noisy, clean = alignments(unknown, both), alignments(rare, both)
+    return _likely(alignments(unknown, both), alignments(rare, both), len(unknown), len(rare))
+
+
+def _likely(noisy: Counter, clean: Counter, unknown: int, rare: int) -> dict[str, dict[str, int]]:
     out: dict[str, dict[str, int]] = {}
     for (read, right), n in sorted(noisy.items()):
-        share = (clean[read, right] + 0.5) / (len(rare) + 500)  # one in a thousand where little is known
-        if read and n >= LEAST_SUPPORT and n / len(unknown) >= LIKELIER * share:
+        share = (clean[read, right] + 0.5) / (rare + 500)  # one in a thousand where little is known
+        if read and n >= LEAST_SUPPORT and n / unknown >= LIKELIER * share:
             out.setdefault(read, {})[right] = int(n)
     return out
 
 
+def joined_alignments(words: DataFrame, known: DataFrame) -> DataFrame:
+    """(read, right, n): ``alignments`` of tables of words (key, w), one row a key, and of known ones (w)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 2000):
+                part = batch.slice(k, 2000).to_pydict()
+                rows = [(key, w[:k] + "\0" + w[k + size :], w[k : k + size]) for key, w in zip(part["key"], part["w"], strict=True) for k in range(len(w) + 1) for size in range(min(3, len(w) - k + 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["key", "rest", "part"])
+
+    schema = "key string, rest string, part string"
+    without = known.select(F.col("w").alias("key"), "w").mapInArrow(cut, schema).select("rest", F.col("part").alias("right")).distinct()
+    read, right = F.col("read"), F.col("right")
+    same = (read != "") & (right != "") & ((F.substring(read, 1, 1) == F.substring(right, 1, 1)) | (F.substring(read, -1, 1) == F.substring(right, -1, 1)))
+    found = words.select("key", "w").mapInArrow(cut, schema).withColumnRenamed("part", "read").join(without, "rest").filter((read != right) & ~same)
+    by_size = found.groupBy("key", (F.length(read) + F.length(right)).alias("size")).agg(F.collect_set(F.struct("read", "right")).alias("found"))
+    best = by_size.groupBy("key").agg(F.min_by("found", "size").alias("found"))
+    return best.select(F.explode("found").alias("f"), (1 / F.size("found")).alias("part")).groupBy("f.read", "f.right").agg(F.round(F.sum("part"), 6).alias("n"))
+
+
+def joined_confusions(unknown: DataFrame, rare: DataFrame, known: DataFrame) -> dict[str, dict[str, int]]:
+    """``learned_confusions`` of tables of any number of words (key, w) and of known ones (w); what comes to the driver has its support."""
+    both = durable(known.unionByName(known.filter(~F.col("w").rlike(r"\p{Nd}")).select(F.upper("w").alias("w"))).distinct())
+    noisy = durable(joined_alignments(unknown, both).filter(F.col("n") >= LEAST_SUPPORT))
+    clean = joined_alignments(rare, both).join(noisy.select("read", "right"), ["read", "right"], "left_semi")
+    counts = [Counter({(r.read, r.right): r.n for r in t.collect()}) for t in (noisy, clean)]
+    return _likely(*counts, unknown.count(), rare.count())
+
+
 def edits(atom: str, confusions: dict[str, dict[str, int]]) -> list[Edit]:
     """(place, read, right): every exchange that undoes a learned confusion; more or fewer letters delete or insert."""
     return [(k, read, right) for k in range(len(atom)) for size in (1, 2) for read in (atom[k : k + size],) if len(read) == size for right in confusions.get(read, ())]
@@ -656,19 +688,19 @@ def noisy_pages(texts: list[str], rng: random.Random, confusions: dict[str, dict
     return out
 
 
-def train(texts: list[str], editor: Editor, seed: int = 3, rounds: int = 3) -> Editor:
-    """Train ``editor`` on clean ``texts``, which are made noisy here.  Without texts it keeps everything."""
+def train(texts: list[str], editor: Editor, seed: int = 3, rounds: int = ROUNDS, paginations: int = PAGINATIONS, words: list[str] | None = None) -> Editor:
+    """Train ``editor`` on clean ``texts``, which are made noisy here, and on their words or those given.  Without both it keeps everything."""
     rng, lexicon = random.Random(seed), editor.lexicon
     some = random.Random(seed)  # so that what is learned of characters doesn't hang on which lines are repeated
     texts = [t for t in texts if len(t.split()) > 20]
-    if not texts:
+    if not texts and not words:
         return editor
     examples_of_lines, examples_of_ends = [], []
     files, a = [], 0
     while a < len(texts):  # files of one to four texts, so of two pages and more
         files.append(texts[a : a + rng.randint(1, 4)])
         a += len(files[-1])
-    for own in [x for x in files for _ in range(PAGINATIONS)]:
+    for own in [x for x in files for _ in range(paginations)]:
         pages = noisy_pages(own, rng, editor.confusions)
         rows = lines_of_file(["\n".join(x for x, _, _ in pages)])[0]
         width = max(len(r.text) for r in rows)
@@ -679,11 +711,11 @@ def train(texts: list[str], editor: Editor, seed: int = 3, rounds: int = 3) -> E
                 examples_of_ends.append((end_candidates(x, y, width, lexicon), {end}))
             elif end == -1:  # a hyphen of its own: the line end goes, the hyphen stays; nothing to mend
                 examples_of_ends.append((end_candidates(x, y, width, lexicon), {SPACE}))
-    words = list({m for t in texts for m in _ATOM.findall(t) if 2 <= len(m) <= 25})
+    words = list(dict.fromkeys(m for t in texts for m in _atoms(t))) if words is None else list(words)
     rng.shuffle(words)
     # codes are right as they are, whether the texts have any or not
-    examples = [(code, code, True) for code in (_code(rng) for _ in range(600))]
-    for w in words[:9000]:
+    examples = [(code, code, True) for code in (_code(rng) for _ in range(600 if words else 0))]
+    for w in words:
         if not any(c.isalpha() for c in w):
             continue
         if rng.random() < 0.35 or sum(c.isdigit() for c in w) > 1:
@@ -713,6 +745,64 @@ def train(texts: list[str], editor: Editor, seed: int = 3, rounds: int = 3) -> E
             for candidates, right in data:
                 model.learn(candidates, right)
         model.average()
+        model.examples = len(data)
+    return editor
+
+
+def _atoms(text: str) -> list[str]:
+    return [m for m in _ATOM.findall(text) if 2 <= len(m) <= 25]
+
+
+def trained(clean: DataFrame, editor: Editor, training: int = TRAINING) -> Editor:
+    """``editor`` trained on all ``clean`` rows (id, testo).
+
+    At most ``training`` rows train it here.  Of more, tasks train editors on ``training`` rows each, and others on
+    ``WORDS`` words each of all different ones; the weights are averaged by their numbers of examples.
+    """
+    total = clean.count()
+    if total <= training:
+        return train([r.testo for r in clean.orderBy(F.xxhash64("id"), "id").select("testo").collect()], editor)
+    passes = max(1, min(ROUNDS, round((ROUNDS * PAGINATIONS * training / total) ** 0.5)))
+    spark = clean.sparkSession
+    held = spark.sparkContext.broadcast(editor)
+
+    def weights(own: list[str], of_words: bool) -> pa.RecordBatch:
+        base = held.value
+        new = Editor(base.lexicon, base.scanned, base.confusions, base.letters)
+        train([] if of_words else own, new, _signed_hash(min(own)), passes, passes, own if of_words else [])
+        models = {"characters": new.characters} if of_words else {"ends": new.ends, "lines": new.lines}
+        rows = [(m, f, w * p.examples, 0) for m, p in models.items() for f, w in p.weights.items()] + [(m, None, 0.0, p.examples) for m, p in models.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["model", "feature", "w", "n"])
+
+    def in_parts(size: int, of_words: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting: list[str] = []
+            for batch in batches:
+                waiting += batch.column(0).to_pylist()
+                while len(waiting) >= 2 * size:  # the last part is no small rest
+                    yield weights(waiting[:size], of_words)
+                    del waiting[:size]
+            if waiting:
+                yield weights(waiting, of_words)
+
+        return work
+
+    def atoms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(list(dict.fromkeys(m for t in batch.column(0).to_pylist() for m in _atoms(t))), pa.string())], names=["w"])
+
+    schema = "model string, feature string, w double, n long"
+    words = durable(clean.select("testo").mapInArrow(atoms, "w string").distinct())
+    parts = max(1, round(words.count() / WORDS))
+    of_texts = clean.select("testo").mapInArrow(in_parts(training, False), schema)
+    of_words = words.repartition(parts, "w").sortWithinPartitions(F.xxhash64("w")).mapInArrow(in_parts(WORDS, True), schema)
+    sums = of_texts.unionByName(of_words).groupBy("model", "feature").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()
+    examples = {r.model: r.n for r in sums if r.feature is None}
+    for r in sums:
+        if r.feature is not None and r.w:
+            getattr(editor, r.model).weights[r.feature] = r.w / examples[r.model]
+    for model, n in examples.items():
+        getattr(editor, model).examples = n
     return editor
 
 
@@ -834,38 +924,36 @@ def scanned_paths(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return latest.filter("ocr = 1").select("percorso").union(signs).filter("percorso IS NOT NULL").distinct()
 
 
-def unknown_words(rows: DataFrame, lexicon: Lexicon, bound: int = ALIGNED) -> list[str]:
-    """Words of ``rows`` (testo) that ``lexicon`` doesn't have, at most ``bound`` (a uniform sample by hash); those that a piece's end may have cut are left out."""
+def unknown_words(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(key, w): all different words of ``rows`` (testo) that ``lexicon`` doesn't have, as they are and in small letters (but for capitals only); those that a piece's end may have cut are left out."""
     held = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {m[0] for t in batch.column(0).to_pylist() for m in _ATOM.finditer(t) if 0 < m.start() and m.end() < len(t)}
             own = [w for w in found if len(w) > 3 and sum(map(str.isalpha, w)) > 1 and not held.value.known(w)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], names=["w"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([w if w.isupper() else w.lower() for w in own], pa.string())], names=["key", "w"])
 
-    words = durable(rows.select("testo").mapInArrow(work, "w string").distinct())
-    return [r.w for r in bounded_sample(words, "w", bound, words.count(), spare=3).collect()]
+    return durable(rows.select("testo").mapInArrow(work, "key string, w string").distinct())
 
 
 def fitted_editor(clean: DataFrame, scanned: DataFrame, training: int = TRAINING) -> Editor:
     """The editor for ``scanned`` rows (testo), from ``clean`` ones (id, testo).
 
     Words of all rows are counted.  Unknown words of scanned rows are aligned with words that clean rows have often, which
-    gives the confusions of this recognition; the perceptrons are trained on noise made of them in a bounded sample.
+    gives the confusions of this recognition; the perceptrons are trained on noise made of them in all suited clean rows.
     """
     counts = durable(word_counts(clean))
     editor = Editor(word_levels(counts), word_levels(word_counts(scanned)))
-    suited = clean.filter(F.length("testo").between(300, 6000) & ~F.col("testo").rlike(r"[|\t]| {3}"))
-    texts = [r.testo for r in bounded_sample(suited, "id", training, clean.count(), spare=3).select("testo").collect()]
-    words = counts.filter(F.length("w").between(4, 25) & ~F.col("w").rlike("[0-9].*[0-9]"))
-    total = words.agg(F.count_if(F.col("c") > 2).alias("known"), F.count_if(F.col("c") == 1).alias("rare")).first()
-    known = [r.w for r in bounded_sample(words.filter("c > 2"), "w", KNOWN, total.known, spare=3).collect()]
-    rare = [r.w for r in bounded_sample(words.filter("c = 1"), "w", ALIGNED, total.rare, spare=3).collect()]
-    editor.confusions = learned_confusions([w if w.isupper() else w.lower() for w in unknown_words(scanned, editor.lexicon)], rare, known)
-    letters = Counter(c for w in known for c in w if c.isalpha())
+    words = durable(counts.filter(F.length("w").between(4, 25) & ~F.col("w").rlike("[0-9].*[0-9]")).select("w", "c"))
+    lists = unknown_words(scanned, editor.lexicon), words.filter("c = 1").select(F.col("w").alias("key"), "w"), words.filter("c > 2").select("w")
+    if all(t.limit(ALIGNED + 1).count() <= ALIGNED for t in lists):
+        editor.confusions = learned_confusions(*([r.w for r in t.orderBy("w").collect()] for t in lists))
+    else:
+        editor.confusions = joined_confusions(*lists)
+    letters = Counter({r.c: r.n for r in lists[2].select(F.explode(F.split("w", "")).alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect() if r.c.isalpha()})
     editor.letters = "".join(sorted(c for c, n in letters.items() if n >= 1e-4 * letters.total()))
-    train(texts, editor)
+    trained(clean.filter(F.length("testo").between(300, 6000) & ~F.col("testo").rlike(r"[|\t]| {3}")), editor, training)
     editor.lexicon.seen.clear()
     editor.scanned.seen.clear()
     return editor
@@ -876,7 +964,7 @@ def repair_scans(chunks: DataFrame, files: DataFrame, training: int = TRAINING)
 
     Page numbers and running headers go, split words are joined, lines of a paragraph follow each other, and wrongly
     recognised characters are replaced; nothing else changes.  ``tipi`` names the kinds of noise a piece has whole.
-    The editor is fitted on noise made from at most ``training`` clean rows; word counts cover all rows.  Files are
+    The editor is fitted on noise made of all suited clean rows, ``training`` at a time.  Files are
     repaired in blocks of ``BLOCK`` pieces, each read together with the block before, so a file of any length is no hot
     group.  Pieces without a number are taken in the order of their ids, in blocks of their own.  Null text: no row; empty
     text: as it is, without kinds; rows repeated under one id count once; null paths are not scanned.
@@ -888,7 +976,7 @@ def repair_scans(chunks: DataFrame, files: DataFrame, training: int = TRAINING)
     paths = durable(rows.select("percorso", "n").join(paths, "percorso", "left_semi").groupBy("percorso").agg(F.max("n").alias("ultimo")))
     scanned = rows.join(paths, "percorso")
     editor = fitted_editor(rows.join(paths, "percorso", "left_anti"), scanned.select("testo"), training)
-    held = spark.sparkContext.broadcast(editor)  # nine bytes a distinct word and weights of a bounded sample
+    held = spark.sparkContext.broadcast(editor)  # nine bytes a distinct word, and weights of features
     names = ["id", "percorso", "n", "testo", "tipi", "modifiche"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,3 +169,25 @@ def test_header_misread_differently_on_each_page():
         assert [r.repeated for r in rows if r.text.startswith(("Il", "Poi", "Questo"))] == [1, 1, 1]
     rows = S.lines_of_file(["Voce tredici articolo A\nVoce tredici articolo B\nfine"])[0]
     assert [r.repeated for r in rows] == [1, 1, 1]
+
+
+def test_words_are_aligned_by_a_join_as_on_the_driver(spark):
+    known = ["bilancio", "modimo", "contratto", "preventivo", "magazzino", "canto", "conto", "b1lancia"]
+    unknown = ["bilaxcio", "Bilaxcio", "bilncio", "MAGA77INO", "c0ntratto", "prevent1vo", "c0nto", "m0dimo", "b1lancio", "moclmo", "bilanci0", "magazzin0", "cantto", "xyz"]
+    rare = ["contatto", "bilancia", "conti", "modino"]
+    table = lambda words: spark.createDataFrame([(w, w if w.isupper() else w.lower()) for w in words], "key string, w string")
+    own = [r.w for r in table(unknown).collect()]
+    aligned = {(r.read, r.right): r.n for r in S.joined_alignments(table(unknown), spark.createDataFrame([(w,) for w in known], "w string")).collect()}
+    assert aligned == {k: pytest.approx(n, abs=1e-5) for k, n in S.alignments(own, known).items()}
+    found = S.joined_confusions(table(unknown), table(rare), table(known).select("w"))
+    assert found == S.learned_confusions(own, rare, known) and found["0"]["o"] >= 3
+
+
+def test_all_clean_rows_train_the_editor(spark, tables):
+    chunk, files = tables
+    clean, scanned = chunk.filter("id < 900"), chunk.filter("id >= 900 AND testo IS NOT NULL")
+    few, all_ = (S.fitted_editor(clean.filter(f"id < {n}"), scanned, 50) for n in (50, 300))
+    # six times the rows, once each instead of three times
+    assert all_.lines.examples > 1.5 * few.lines.examples and all_.ends.examples > 1.5 * few.ends.examples
+    assert all_.characters.weights and all_.letters == few.letters
+    assert {r.id: r.tipi for r in S.repair_scans(chunk, files, 50).collect()}[900] == ["glifo", "pagina", "sillabazione", "testata"]
