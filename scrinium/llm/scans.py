@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import difflib
+import gc
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache, lru_cache
+from itertools import accumulate, count, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from scrinium.durable import durable
 from scrinium.functions.text import suffix
@@ -23,6 +28,8 @@ from scrinium.sources.readers import IMAGES
 TRAINING = 1_500
 #: Times that these are set on pages, each in its own way, and rounds over the examples; many rows are seen fewer times each, but all are.
 PAGINATIONS = ROUNDS = 3
+#: Files of training whose lines are compared together.
+BATCH = 64
 #: Different words that one editor learns characters from.
 WORDS = 9_000
 #: Pieces of one file that are repaired together; those of the block before are read with them.
@@ -44,6 +51,12 @@ _WORD = re.compile(r"\w+")
 #: Signs of a scanned page in a text, for rows whose catalogue entry doesn't say so.
 EVIDENCE = rf"(?im)\p{{Ll}}[{MARKS}]\r?\n(?-i:\p{{Ll}})|^(?:[-–—] ?\d{{1,7}} ?[-–—]|\[\d{{1,7}}\]|(?:{BEFORE_NUMBER}) ?\d{{1,7}}(?: di \d{{1,7}})?|\d{{1,3}}|\d{{1,3}}/\d{{1,3}})$"
 _FOLD = str.maketrans("01|!i5697@íc(tyr", "ollllsbgzafeefvl")
+#: The same for all of Latin-1, where signs become spaces.
+_FOLD_BYTES = bytes(ord(c) if re.match(r"\w", c) else 32 for c in map(chr, (_FOLD.get(k, k) for k in range(256))))
+# what any line that _TAIL matches has: a last character, and what stands before the number
+_LAST, _SEPARATED = "-–—])ivxlcdmIVXLCDM\u0130\u0131", re.compile(r"[|\t]|\s[\s\-–—·•]")
+#: No line that _NUMBER matches is longer.
+_NUMBER_LENGTH = 32
 
 _SCHEMA = "id long, percorso string, n int, testo string, tipi array<string>, modifiche int"
 
@@ -60,8 +73,7 @@ class Perceptron:
         self.examples = 0
 
     def score(self, features: list[str]) -> float:
-        get = self.weights.get
-        return sum(get(f, 0.0) for f in features)
+        return sum(map(self.weights.get, features, repeat(0.0)))
 
     def best(self, candidates: list[list[str]]) -> int:
         scores = [self.score(c) for c in candidates]
@@ -81,6 +93,34 @@ class Perceptron:
             self.weights[f] = w + by
         return False
 
+    def learn_all(self, data: list[tuple[list[list[str]], set[int]]], rounds: int, rng: random.Random) -> None:
+        """``learn`` of all examples in each of ``rounds``, in random orders, then ``average``, on numbered features."""
+        index: dict[str, int] = {}
+        held: dict[int, list[list[int]]] = {}
+        for candidates, _ in data:
+            if id(candidates) not in held:
+                held[id(candidates)] = [[index.setdefault(f, len(index)) for f in c] for c in candidates]
+        numbered = [(held[id(candidates)], right) for candidates, right in data]
+        w, total, since, step = [0.0] * len(index), [0.0] * len(index), [0] * len(index), 0
+        weight = w.__getitem__
+        for _ in range(rounds):
+            rng.shuffle(numbered)
+            for candidates, right in numbered:
+                step += 1
+                scores = [sum(map(weight, c)) for c in candidates]
+                said = scores.index(max(scores))
+                if said in right:
+                    continue
+                for c, by in ((candidates[max(right, key=scores.__getitem__)], 1.0), (candidates[said], -1.0)):
+                    for f in c:
+                        total[f] += w[f] * (step - since[f])
+                        since[f] = step
+                        w[f] += by
+        for f in range(len(w)):
+            total[f] += w[f] * (step - since[f])
+        self.weights = {f: total[k] / max(1, step) for f, k in index.items() if total[k]}
+        self.examples = len(data)
+
     def average(self) -> None:
         for f, w in self.weights.items():
             self._total[f] += w * (self._step - self._since.get(f, 0))
@@ -90,12 +130,17 @@ class Perceptron:
 
 # ---------------------------------------------------------------- words of the clean corpus
 def _signed_hash(word: str) -> int:
-    import xxhash
-
-    h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+    h = _hash(word)
     return h - (1 << 64) if h >> 63 else h
 
 
+def _hash(word: str) -> int:
+    try:
+        return xxh3_64_intdigest(word)
+    except UnicodeEncodeError:
+        return xxh3_64_intdigest(word.encode("utf-8", "replace"))
+
+
 def word_counts(df: DataFrame, text: str = "testo") -> DataFrame:
     """(h, c, w): how often each word and each trigram of a word occurs in ``text`` of all rows, by its 64-bit hash; w is null for trigrams.
 
@@ -109,18 +154,20 @@ def word_counts(df: DataFrame, text: str = "testo") -> DataFrame:
         held: Counter = Counter()
         names: dict[int, str] = {}
         for batch in batches:
-            found: Counter = Counter()
+            spaced: Counter = Counter()  # no word has a space, so each different stretch is looked at once
             for t in batch.column(0).to_pylist():
-                found.update(_WORD.findall(t.lower()))
-            grams: Counter = Counter()
+                spaced.update(t.lower().split())
+            found: Counter = Counter()
+            for t, c in spaced.items():
+                for w in _WORD.findall(t):
+                    found[w] += c
+            grams = Counter([x[k : k + 3] for x in map("^{}$".format, found) for k in range(len(x) - 1)])
             for w, c in found.items():
-                for k in range(len(w) + 1):
-                    grams["\x00" + f"^{w}$"[k : k + 3]] += 1
                 h = _signed_hash(w)
                 held[h] += c
                 names[h] = w
             for w, c in grams.items():
-                held[_signed_hash(w)] += c
+                held[_signed_hash("\x00" + w)] += c
             if len(held) > 500_000:
                 yield counted(held, names)
                 held, names = Counter(), {}
@@ -148,6 +195,7 @@ class Lexicon:
     counters: np.ndarray
     hashes: np.ndarray
     seen: dict[str, int] = field(default_factory=dict)
+    contexts: dict[tuple[str, str, str], frozenset[str]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, words: dict[str, int]) -> Lexicon:
@@ -160,7 +208,10 @@ class Lexicon:
         """Levels of many words at once."""
         if not len(self.hashes):
             return np.zeros(len(words), np.uint8)
-        asked = np.array([_signed_hash(w) for w in words], np.int64)
+        try:
+            asked = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+        except UnicodeEncodeError:
+            asked = np.fromiter(map(_hash, words), np.uint64, len(words)).view(np.int64)
         k = np.minimum(self.hashes.searchsorted(asked), len(self.hashes) - 1)
         return np.where(self.hashes[k] == asked, self.counters[k], 0)
 
@@ -168,9 +219,23 @@ class Lexicon:
         if (level := self.seen.get(word)) is None:
             if len(self.seen) > 300_000:
                 self.seen.clear()
-            level = self.seen[word] = int(self.levels([word])[0])
+            level = self.seen[word] = self._level(word)
         return level
 
+    def _level(self, word: str) -> int:
+        asked = _signed_hash(word)
+        k = self.hashes.searchsorted(asked)
+        return int(self.counters[k]) if k < len(self.hashes) and self.hashes[k] == asked else 0
+
+    def fitting(self, before: str, after: str, letters: str) -> frozenset[str]:
+        """Those of ``letters`` that make a trigram of a word with what stands before and after them."""
+        if (fitting := self.contexts.get((before, after, letters))) is None:
+            if len(self.contexts) > 10_000:
+                self.contexts.clear()
+            level = self.levels([f"\x00{before}{c}{after}" for c in letters])
+            fitting = self.contexts[before, after, letters] = frozenset(letters[k] for k in np.flatnonzero(level))
+        return fitting
+
     def known(self, atom: str) -> int:
         """0..4: how well known a word is; signs before and after it don't count, one inside makes it unknown."""
         core = atom.lower().lstrip("(").rstrip("!")
@@ -182,7 +247,9 @@ class Lexicon:
     def grams(self, atom: str) -> int:
         """0..3: how usual the rarest trigram is."""
         w = f"^{atom.lower()}$"
-        least = min(self.level("\x00" + w[k : k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else 0
+        grams = ["\x00" + w[k : k + 3] for k in range(len(w) - 2)]
+        levels = list(map(self.seen.get, grams))
+        least = min(map(self.level, grams) if None in levels else levels) if grams else 0
         return 0 if least < 8 else 1 if least < 20 else 2 if least < 40 else 3
 
 
@@ -270,10 +337,35 @@ def edits(atom: str, confusions: dict[str, dict[str, int]]) -> list[Edit]:
 
 def other_edits(atom: str, lexicon: Lexicon, letters: str) -> list[Edit]:
     """Replacements, deletions and insertions of any one letter that make ``atom`` a known word."""
-    plans = [(k, atom[k], c) for k in range(len(atom)) for c in letters if c != atom[k]]
-    plans += [(k, atom[k], "") for k in range(len(atom))] + [(k, "", c) for k in range(len(atom) + 1) for c in letters]
-    level = lexicon.levels([apply(atom, p).lower() for p in plans])
-    return [plans[k] for k in np.flatnonzero(level >= 16)]
+    lower, n = atom.lower(), len(atom)
+    if len(lower) != n or "\u03a3" in atom or letters.lower() != letters:  # letters whose small ones hang on others
+        plans = [(k, atom[k], c) for k in range(n) for c in letters if c != atom[k]]
+        plans += [(k, atom[k], "") for k in range(n)] + [(k, "", c) for k in range(n + 1) for c in letters]
+        new = [apply(atom, p).lower() for p in plans]
+    else:  # letters whose trigrams occur; others make no word that occurs
+        w = f"^{lower}$"
+
+        def able(k: int, after: int) -> list[str]:
+            """Letters that can stand between ``w[:k]`` and ``w[after:]``."""
+            out = lexicon.fitting(w[k - 1], w[after], letters)
+            if out and k > 1:
+                out &= lexicon.fitting(w[k - 2 : k], "", letters)
+            if out and after + 1 < len(w):
+                out &= lexicon.fitting("", w[after : after + 2], letters)
+            return sorted(out, key=letters.index) if len(out) > 1 else list(out)
+
+        plans, new = [], []
+        for k in range(n):
+            own = [c for c in able(k + 1, k + 2) if c != atom[k]]
+            plans += [(k, atom[k], c) for c in own]
+            new += [f"{lower[:k]}{c}{lower[k + 1 :]}" for c in own]
+        plans += [(k, atom[k], "") for k in range(n)]
+        new += [lower[:k] + lower[k + 1 :] for k in range(n)]
+        for k in range(n + 1):
+            own = able(k + 1, k + 1)
+            plans += [(k, "", c) for c in own]
+            new += [f"{lower[:k]}{c}{lower[k:]}" for c in own]
+    return [plans[k] for k in np.flatnonzero(lexicon.levels(new) >= 16)]
 
 
 def _all(text: str, part: str) -> Iterator[int]:
@@ -370,18 +462,25 @@ KEEP, SPACE, JOIN = range(3)
 
 def end_candidates(left: str, right: str, width: int, lexicon: Lexicon) -> list[list[str]]:
     """Keep the line end, make it a space, or join the lines (deleting a mark of a split word)."""
-    a, b = left.rsplit(None, 1)[-1] if left.strip() else "", right.split(None, 1)[0] if right.strip() else ""
-    mark = a[-1:] if a[-1:] and a[-1:] in MARKS else ""
+    a, b = (left.rsplit(None, 1) or [""])[-1], (right.split(None, 1) or [""])[0]
+    last = a[-1:]
+    mark = last if last and last in MARKS else ""
     x, y = a[:-1] if mark else a, b
-    head, tail = (m[-1] if (m := _WORD.findall(x)) else ""), (m[0] if (m := _WORD.findall(y)) else "")
     split = bool(mark) and x[-1:].islower() and y[:1].islower()
-    joined = lexicon.known(head + tail) if split else 0
-    apart = min(lexicon.known(head), lexicon.known(tail)) if split else 0
-    end = "." if left.rstrip()[-1:] in ".!?" else "," if left.rstrip()[-1:] in ",;" else ":" if left.rstrip()[-1:] == ":" else "_"
-    start = _kind(right.lstrip()[:1])
+    joined = apart = 0
+    if split:
+        head, tail = (m[-1] if (m := _WORD.findall(x)) else ""), (m[0] if (m := _WORD.findall(y)) else "")
+        joined, apart = lexicon.known(head + tail), min(lexicon.known(head), lexicon.known(tail))
+    end = "." if last in ".!?" else "," if last in ",;" else ":" if last == ":" else "_"
     full = "full" if len(left) + 1 + len(b) > width else "near" if len(left) > 0.75 * width else "short"
     mark_is = "hyphen" if mark == "-" else "other" if mark else "none"
-    base = [f"{mark_is} {split}", f"{mark_is} {split} {joined} {apart}", f"{end} {start} {full}", f"{start} {mark_is}", f"{end} {full}", f"{full} {mark_is}", f"whole {bool(mark) and bool(right)} {_kind(x[-1:])} {start}"]
+    return _end_features(mark_is, split, joined, apart, end, _kind(b[:1]), full, bool(mark) and bool(right), _kind(x[-1:]))
+
+
+@lru_cache(maxsize=4096)
+def _end_features(mark_is: str, split: bool, joined: int, apart: int, end: str, start: str, full: str, whole: bool, kind: str) -> list[list[str]]:
+    """The features, one object for like line ends."""
+    base = [f"{mark_is} {split}", f"{mark_is} {split} {joined} {apart}", f"{end} {start} {full}", f"{start} {mark_is}", f"{end} {full}", f"{full} {mark_is}", f"whole {whole} {kind} {start}"]
     return [[f"{op} {f}" for f in (*base, "")] for op in ("keep", "space", "join")]
 
 
@@ -391,8 +490,9 @@ TEXT, HEADER, PAGE = range(3)
 
 def page_number(line: str) -> tuple[str, int] | None:
     """(form, value) of a line that may be a page number."""
-    m = _NUMBER.match(line.strip())
-    if not m or not line.strip():
+    line = line.strip()
+    m = _NUMBER.match(line) if 0 < len(line) <= _NUMBER_LENGTH else None
+    if not m:
         return None
     form = next(k for k in ("word", "pair", "dash", "box", "bare", "roman") if m[k] is not None)
     digits = m["a"] or m["b"] or m["c"] or m["d"] or m["e"]
@@ -406,15 +506,19 @@ def _roman(text: str) -> int:
 
 def header_part(line: str) -> tuple[str, bool]:
     """A line without the page number that may follow in it, and whether one does."""
-    m = _TAIL.match(line.strip())
-    return (m[1], True) if m else (line.strip(), False)
+    line = line.strip()
+    m = _TAIL.match(line) if (line[-1:] in _LAST or line[-1].isdigit()) and _SEPARATED.search(line) else None
+    return (m[1], True) if m else (line, False)
 
 
 def _folded(line: str) -> str:
-    return re.sub(r"[^\w]+", " ", line.lower().translate(_FOLD)).strip()
+    try:
+        return b" ".join(line.lower().encode("latin-1").translate(_FOLD_BYTES).split()).decode("latin-1")
+    except UnicodeEncodeError:
+        return re.sub(r"[^\w]+", " ", line.lower().translate(_FOLD)).strip()
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     text: str
     new: bool  # not in what the piece repeats of the one before
@@ -433,6 +537,20 @@ class Line:
 
 def lines_of_file(texts: list[str]) -> list[list[Line]]:
     """Lines of a file's pieces, in order, with what the file tells about each: repetition and sequence of numbers."""
+    return lines_of_files([texts])[0]
+
+
+def lines_of_files(files: list[list[str]]) -> list[list[list[Line]]]:
+    """``lines_of_file`` of each, whose lines are compared together."""
+    read = [_read(texts) for texts in files]
+    rare = [list({line.key for rows in out for line in rows if line.key and len(places.get(line.key, ())) < 2}) for out, places in read]
+    for (out, places), near in zip(read, _near([(own, list(places)) for own, (_, places) in zip(rare, read, strict=True)]), strict=True):
+        _tell(out, places, near)
+    return [out for out, _ in read]
+
+
+def _read(texts: list[str]) -> tuple[list[list[Line]], dict[str, list[int]]]:
+    """The lines, and where each stands that is no number."""
     out: list[list[Line]] = []
     before = ""
     for text in texts:
@@ -440,10 +558,8 @@ def lines_of_file(texts: list[str]) -> list[list[Line]]:
         rows, at = [], 0
         parts = text.split("\n")
         for k, part in enumerate(parts):
-            line = Line(part.rstrip("\r"), at >= shared, k == 0, k == len(parts) - 1)
-            line.number = page_number(line.text)
-            line.head, line.tail = header_part(line.text)
-            rows.append(line)
+            line = part.rstrip("\r")
+            rows.append(Line(line, at >= shared, k == 0, k == len(parts) - 1, page_number(line), *header_part(line)))
             at += len(part) + 1
         out.append(rows)
         before = text
@@ -456,20 +572,22 @@ def lines_of_file(texts: list[str]) -> list[list[Line]]:
                 key = line.key = _folded(line.head)
                 if line.new and (not places[key] or count - places[key][-1] >= 4):
                     places[key].append(count)
-    rare = list({line.key for rows in out for line in rows if line.key and len(places.get(line.key, ())) < 2})
-    near_repeated = _near(rare, [k for k, v in places.items() if len(v) > 1])
-    near_single = _near(rare, [k for k, v in places.items() if len(v) == 1])
+    return out, places
+
+
+def _tell(out: list[list[Line]], places: dict[str, list[int]], near: dict[str, list[str]]) -> None:
+    """Sets repetition and sequence of the lines."""
 
     @cache
     def repeated_like(key: str) -> str | None:
         """The most frequent repeated line that ``key`` may be a misreading of."""
-        return next((o for o in sorted(near_repeated.get(key, ()), key=lambda o: (len(places[o]), o), reverse=True) if _similar(key, o)), None)
+        return next((o for o in sorted((o for o in near.get(key, ()) if len(places[o]) > 1), key=lambda o: (len(places[o]), o), reverse=True) if _similar(key, o)), None)
 
     @cache
     def single_like(key: str, anywhere: bool) -> str | None:
         """A line that stands once, as ``key`` does, of which both may be misreadings; some lines apart, as a repeated one, unless ``anywhere``."""
         at = places[key][0] if places.get(key) else None
-        apart = (o for o in near_single.get(key, ()) if anywhere or at is None or abs(places[o][0] - at) >= 4)
+        apart = (o for o in near.get(key, ()) if len(places[o]) == 1 and (anywhere or at is None or abs(places[o][0] - at) >= 4))
         return next((o for o in sorted(apart, reverse=True) if _similar(*sorted((key, o)))), None)
 
     forms: dict[str, Counter] = defaultdict(Counter)
@@ -486,7 +604,7 @@ def lines_of_file(texts: list[str]) -> list[list[Line]]:
             elif len(line.head) >= 4:
                 key = line.key
                 line.repeated = len(places.get(key, ()))
-                if line.repeated < 2:
+                if line.repeated < 2 and key in near:
                     if other := repeated_like(key):
                         line.repeated, key = len(places[other]), other
                     elif other := single_like(key, line.tail or line.head.isupper()):
@@ -500,44 +618,87 @@ def lines_of_file(texts: list[str]) -> list[list[Line]]:
         for line in rows:
             if line.repeated > 1 and line.head in variants:
                 line.misread = line.head != usual[variants[line.head]]
-    return out
 
 
-def _counts(keys: list[str], size: int, pairs: bool) -> np.ndarray:
-    """How often each letter, or pair of letters, occurs in each key, hashed to ``size`` columns."""
-    lengths = np.array([len(k) for k in keys], np.int64)
-    codes = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    row = np.repeat(np.arange(len(keys)), lengths)
-    if pairs:
-        codes, row = (31 * codes[:-1] + codes[1:])[row[:-1] == row[1:]], row[:-1][row[:-1] == row[1:]]
-    return np.bincount(row * size + codes % size, minlength=len(keys) * size).reshape(len(keys), size).astype(np.uint8)
+def _near(files: list[tuple[list[str], list[str]]]) -> list[dict[str, list[str]]]:
+    """For each file's asked lines, its other lines of about that length that ``_similar`` may hold for.
 
+    Two bounds that lose none, for many pairs at once: letters that both have, and the longest common subsequence of a
+    line and the first 64 letters of the shorter one, with all its others.
+    """
+    every: list[str] = []
+    starts, is_own, is_other = [0], [], []
+    for asked, keys in files:
+        own, other = set(asked), set(keys)
+        lines = sorted(own | other, key=len) if own and other else []
+        every += lines
+        is_own += [k in own for k in lines]
+        is_other += [k in other for k in lines]
+        starts.append(len(every))
+    out: list[dict[str, list[str]]] = [defaultdict(list) for _ in files]
+    if not every:
+        return out
+    lengths = np.array([len(k) for k in every], np.int64)
+    codes = np.frombuffer("".join(every).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % 128
+    row = np.repeat(np.arange(len(every)), lengths)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for start, stop in zip(starts, starts[1:], strict=False):
+        a, b = row.searchsorted([start, stop])
+        size = lengths[start:stop]
+        letters = np.bincount(codes[a:b] * (stop - start) + row[a:b] - start, minlength=128 * (stop - start)).reshape(128, stop - start)
+        letters = letters[letters.any(1)].astype(np.uint8 if stop > start and size[-1] < 256 else np.uint16)
+        for i in range(0, stop - start, 64):
+            end = min(stop - start, i + 64)
+            last = int(size.searchsorted(size[end - 1] + 5))
+            for j in range(i, last, 2048):
+                to = min(last, j + 2048)
+                shared, least = np.zeros((end - i, to - j), letters.dtype), np.empty((end - i, to - j), letters.dtype)
+                for mine, others in zip(letters[:, i:end, None], letters[:, None, j:to], strict=True):
+                    shared += np.minimum(mine, others, out=least)
+                x, y = np.nonzero(2.0 * shared >= 0.85 * (size[i:end, None] + size[None, j:to]) - 1e-9)
+                x, y = x + i, y + j
+                good = (x < y) & (size[y] - size[x] <= 4)
+                found.append((x[good] + start, y[good] + start))
+    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+    own, other = np.array(is_own), np.array(is_other)
+    good = (own[x] & other[y]) | (own[y] & other[x])
+    x, y = x[good], y[good]
+    good = _may_share(codes, row, place, lengths, x, y)
+    for m, n in zip(x[good].tolist(), y[good].tolist(), strict=True):
+        near = out[bisect_right(starts, m) - 1]
+        for p, q in ((m, n), (n, m)):
+            if is_own[p] and is_other[q]:
+                near[every[p]].append(every[q])
+    return out
 
-def _near(asked: list[str], keys: list[str]) -> dict[str, list[str]]:
-    """For each of ``asked``, the other ``keys`` of about its length that ``_similar`` may hold for.
 
-    Two bounds that lose none, for all at once.  At a ratio of 0.85 the u letters without a match are at most 0.15 of all t
-    letters of both, the (t - u) / 2 matches stand in at most u + 1 runs, and so at least (t - u) / 2 - u - 1 pairs recur.
-    """
-    asked, keys = sorted(asked, key=len), sorted(keys, key=len)
-    out: dict[str, list[str]] = defaultdict(list)
-    if not asked or not keys:
+def _may_share(codes: np.ndarray, row: np.ndarray, place: np.ndarray, lengths: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether ``_common`` of the lines ``x`` and ``y`` (the longer ones) may be large enough: the same steps, on 64 bits of all pairs."""
+    out = np.zeros(len(x), bool)
+    if not len(x):
         return out
-    lengths, own = np.array([len(k) for k in keys]), np.array([len(k) for k in asked])
-    letters, asked_letters = _counts(keys, 64, False), _counts(asked, 64, False)
-    pairs, asked_pairs = _counts(keys, 256, True), _counts(asked, 256, True)
-    for i in range(0, len(asked), 32):
-        size = own[i : i + 32]
-        a, b = lengths.searchsorted([size[0] - 4, size[-1] + 5])
-        for j in range(a, b, 2048):
-            other = lengths[j : min(b, j + 2048)]
-            total = size[:, None] + other
-            shared = np.minimum(asked_letters[i : i + 32, None], letters[None, j : j + len(other)]).sum(2, dtype=np.int16)
-            x, y = np.nonzero((2 * shared >= 0.85 * total - 1e-9) & (np.abs(size[:, None] - other) <= 4))
-            good = np.minimum(asked_pairs[i + x], pairs[j + y]).sum(1, dtype=np.int16) >= 0.275 * total[x, y] - 1 - 1e-9
-            for m, n in zip((i + x[good]).tolist(), (j + y[good]).tolist(), strict=True):
-                if asked[m] != keys[n]:
-                    out[asked[m]].append(keys[n])
+    used, back = np.unique(np.concatenate((x, y)), return_inverse=True)
+    at = np.full(len(lengths), -1)
+    at[used] = np.arange(len(used))
+    mine = at[row] >= 0
+    row, place, codes = at[row[mine]], place[mine], codes[mine]
+    padded = np.full((len(used), int(lengths[used].max())), 128, np.int64)
+    padded[row, place] = codes
+    masks = np.zeros(len(used) * 129, np.uint64)
+    first = place < 64
+    np.add.at(masks, row[first] * 129 + codes[first], np.uint64(1) << place[first].astype(np.uint64))
+    a, b = back[: len(x)], back[len(x) :]
+    step = max(1, 1_000_000 // padded.shape[1])
+    for k in range(0, len(x), step):
+        mask = masks[padded[b[k : k + step]].T + a[k : k + step] * 129]
+        v = np.full(mask.shape[1], ~np.uint64(0))
+        for m in mask:
+            u = v & m
+            v = (v + u) | (v - u)
+        short = lengths[x[k : k + step]]
+        common = np.bitwise_count(~v).astype(np.int64) + np.maximum(0, short - 64)
+        out[k : k + step] = 2 * common >= 0.85 * (short + lengths[y[k : k + step]]) - 1e-9
     return out
 
 
@@ -559,6 +720,7 @@ def _common(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
+@lru_cache(maxsize=1024)
 def _similar(a: str, b: str) -> bool:
     return 2 * _common(a, b) >= 0.85 * (len(a) + len(b)) - 1e-9 and difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.85
 
@@ -576,16 +738,24 @@ def _overlap(before: str, text: str) -> int:
 def line_candidates(rows: list[Line], k: int, width: int) -> list[list[str]]:
     """Features of line ``k`` of a piece as text, as header and as page number."""
     line = rows[k]
-    a = next((rows[i] for i in range(k - 1, -1, -1) if not rows[i].number and rows[i].text.strip()), None)
-    b = next((rows[i] for i in range(k + 1, len(rows)) if not rows[i].number and rows[i].text.strip()), None)
+    a = b = None
+    for i in range(k - 1, -1, -1):
+        if not rows[i].number and rows[i].text.strip():
+            a = rows[i]
+            break
+    for i in range(k + 1, len(rows)):
+        if not rows[i].number and rows[i].text.strip():
+            b = rows[i]
+            break
     beside = any(0 <= i < len(rows) and rows[i].number for i in (k - 1, k + 1))
     before = "none" if a is None else "ended" if a.text.rstrip()[-1:] in ".!?" else "split" if a.text.rstrip()[-1:] in MARKS else "open"
     after = "none" if b is None else _kind(b.text.lstrip()[:1])
     end = line.text.rstrip()[-1:]
     ended = "." if end and end in ".!?" else "," if end and end in ",;:" else "-" if end and end in MARKS else "_"
     start = _kind(line.text.lstrip()[:1])
-    letters = [c for c in line.head if c.isalpha()]
-    caps = "caps" if letters and sum(c.isupper() for c in letters) > 0.7 * len(letters) else "low"
+    capitals = 0 if line.head.islower() else sum(map(str.isupper, line.head))
+    letters = sum(map(str.isalpha, line.head)) if capitals else 0
+    caps = "caps" if capitals > 0.7 * letters and sum(c.isupper() for c in line.head if c.isalpha()) > 0.7 * letters else "low"
     form = line.number[0] if line.number else "tail" if line.tail else "-"
     times = "twin" if line.twin else str(min(line.repeated, 4))
     size = "full" if len(line.text) > 0.85 * width else "part"
@@ -593,9 +763,15 @@ def line_candidates(rows: list[Line], k: int, width: int) -> list[list[str]]:
     since = next((k - i for i in range(k - 1, max(-1, k - 5), -1) if rows[i].number), 5)
     until = next((i - k for i in range(k + 1, min(len(rows), k + 5)) if rows[i].number), 5)
     digits = min(sum(c.isdigit() for c in line.text), 6) if line.number else 0
-    base = [f"form {form}", f"form {form} {line.sequence}", f"form {form} {before} {after}", f"times {times} {ended} {start}", f"times {times} {caps} {size}", f"times {times} {before} {after}", f"beside {beside} {times}", f"alone {ended} {size} {before} {after} {'twin' if line.twin else min(line.repeated, 2)}", f"times {times} {ended} {any(c.isdigit() for c in line.head)} {min(len(line.head) // 6, 4)}", f"form {form} {times} {caps}", f"edge {line.first} {line.last} {form} {times}", f"digits {digits} {line.sequence}"]
+    return _line_features(form, line.sequence, before, after, times, ended, start, caps, size, beside, "twin" if line.twin else min(line.repeated, 2), any(map(str.isdigit, line.head)), min(len(line.head) // 6, 4), line.first, line.last, digits, since, until, bool(line.number))
+
+
+@lru_cache(maxsize=4096)
+def _line_features(form: str, sequence: str, before: str, after: str, times: str, ended: str, start: str, caps: str, size: str, beside: bool, again: str | int, figures: bool, length: int, first: bool, last: bool, digits: int, since: int, until: int, number: bool) -> list[list[str]]:
+    """The features, one object for like lines."""
+    base = [f"form {form}", f"form {form} {sequence}", f"form {form} {before} {after}", f"times {times} {ended} {start}", f"times {times} {caps} {size}", f"times {times} {before} {after}", f"beside {beside} {times}", f"alone {ended} {size} {before} {after} {again}", f"times {times} {ended} {figures} {length}", f"form {form} {times} {caps}", f"edge {first} {last} {form} {times}", f"digits {digits} {sequence}"]
     if min(since, until) < 5:
-        base += [f"place {since} {until} {bool(line.number)}", f"place {min(since, until)} {times} {form}"]
+        base += [f"place {since} {until} {number}", f"place {min(since, until)} {times} {form}"]
     return [[f"{role} {f}" for f in (*base, "")] for role in ("text", "header", "page")]
 
 
@@ -603,7 +779,7 @@ def line_candidates(rows: list[Line], k: int, width: int) -> list[list[str]]:
 def misread(word: str, rng: random.Random, confusions: dict[str, dict[str, int]], letters: str = "", times: int = 1) -> str:
     """The word as recognition might read it: by a learned confusion, as often as it is, or by any other letter (one time in ten, and where none is learned)."""
     for _ in range(times):
-        sites = [(k, right, read, n) for read, rights in confusions.items() for right, n in rights.items() if right for k in _all(word, right)]
+        sites = [(k, right, read, n) for read, rights in confusions.items() for right, n in rights.items() if right and right in word for k in _all(word, right)]
         if sites and rng.random() < 0.9:
             k, right, read, _ = rng.choices(sites, [x[3] ** 0.5 for x in sites])[0]
             word = word[:k] + read + word[k + len(right) :]
@@ -621,7 +797,8 @@ def _page_number(form: int, value: int, total: int) -> str:
 def noisy_pages(texts: list[str], rng: random.Random, confusions: dict[str, dict[str, int]]) -> list[tuple[str, int, int]]:
     """Lines of pages that show ``texts``: (line, role, what its end is)."""
     width, per_page = rng.randint(48, 78), rng.randint(12, 40)
-    words = [w for t in texts for w in t.split()]
+    paragraphs = [p.split() for t in texts for p in t.split("\n")]
+    words = [w for p in paragraphs for w in p]
     header = " ".join(w.strip(".,;:!?") for w in rng.sample(words, min(len(words), rng.randint(2, 4)))).strip()
     header = header.upper() if rng.random() < 0.4 else header[:1].upper() + header[1:]
     if rng.random() < 0.3:
@@ -634,34 +811,37 @@ def noisy_pages(texts: list[str], rng: random.Random, confusions: dict[str, dict
     # clauses that recur in a text are no headers
     often = [" ".join(words[k : k + rng.randint(1, 8)]) for k in (rng.randrange(len(words)) for _ in range(2))] if rng.random() < 0.5 else []
     often = [re.sub(r"[.,;:!?]*$", "", x)[:width].rstrip() + rng.choice([".", ".", ".", ",", "!"]) for x in often]
-    for text in texts:
-        for paragraph in text.split("\n"):
-            if often and rng.random() < 0.3:
-                lines.append((rng.choice(often), TEXT, KEEP))
-            row, edge = "", width
-            for word in paragraph.split():
-                if len(row) + 1 + len(word) <= edge or not row:
-                    row = f"{row} {word}".strip()
-                    continue
-                room = edge - len(row) - 2
-                # some pages are ragged
-                edge = width - rng.randint(0, width // 2) if ragged and rng.random() < 0.3 else width
-                core = word.strip(".,;:!?\"'()")
-                if split and core.isalpha() and core.islower() and len(core) >= 5 and room >= 2 and word.startswith(core) and rng.random() < 0.7:
-                    k = rng.randint(2, min(room, len(core) - 2))
-                    lines.append((f"{row} {word[:k]}{mark}", TEXT, JOIN))
-                    row = word[k:]
-                elif "-" in word[1:-1] and word.index("-", 1) < room:
-                    k = word.index("-", 1) + 1
-                    lines.append((f"{row} {word[:k]}", TEXT, -1))
-                    row = word[k:]
-                else:
-                    lines.append((row, TEXT, SPACE))
-                    row = word
-            if row:
-                lines.append((row, TEXT, KEEP))
-            if rng.random() < 0.12:
-                lines.append((rng.choice([f"Art. {rng.randint(1, 40)}", f"Totale euro {rng.randint(10, 9999)},{rng.randint(10, 99)}", f"€ {rng.randint(10, 999)},{rng.randint(10, 99)}", f"- {' '.join(rng.sample(words, 3))}", f"Voci {rng.randint(1990, 2030)} -", f"Rif. {rng.randint(100, 99999)}", f"{rng.randint(10_000, 9_999_999)}", rng.choice(["Vi", "MI", "Di", "CD"])]), TEXT, KEEP))
+    for own in paragraphs:
+        if often and rng.random() < 0.3:
+            lines.append((rng.choice(often), TEXT, KEEP))
+        row, edge, k = "", width, 0
+        ends = list(map(add, accumulate(map(len, own), initial=0), count()))  # with a space after each
+        while k < len(own):
+            # as many words as the line holds, one at least
+            at = max(k + (not row), bisect_right(ends, edge - (len(row) or -1) + ends[k], k) - 1)
+            row = " ".join([row, *own[k:at]] if row else own[k:at])
+            if at >= len(own):
+                break
+            word, k = own[at], at + 1
+            room = edge - len(row) - 2
+            # some pages are ragged
+            edge = width - rng.randint(0, width // 2) if ragged and rng.random() < 0.3 else width
+            core = word.strip(".,;:!?\"'()")
+            if split and core.isalpha() and core.islower() and len(core) >= 5 and room >= 2 and word.startswith(core) and rng.random() < 0.7:
+                cut = rng.randint(2, min(room, len(core) - 2))
+                lines.append((f"{row} {word[:cut]}{mark}", TEXT, JOIN))
+                row = word[cut:]
+            elif "-" in word[1:-1] and word.index("-", 1) < room:
+                cut = word.index("-", 1) + 1
+                lines.append((f"{row} {word[:cut]}", TEXT, -1))
+                row = word[cut:]
+            else:
+                lines.append((row, TEXT, SPACE))
+                row = word
+        if row:
+            lines.append((row, TEXT, KEEP))
+        if rng.random() < 0.12:
+            lines.append((rng.choice([f"Art. {rng.randint(1, 40)}", f"Totale euro {rng.randint(10, 9999)},{rng.randint(10, 99)}", f"€ {rng.randint(10, 999)},{rng.randint(10, 99)}", f"- {' '.join(rng.sample(words, 3))}", f"Voci {rng.randint(1990, 2030)} -", f"Rif. {rng.randint(100, 99999)}", f"{rng.randint(10_000, 9_999_999)}", rng.choice(["Vi", "MI", "Di", "CD"])]), TEXT, KEEP))
     out: list[tuple[str, int, int]] = []
     total = value + len(lines) // per_page
     on_top, from_start = rng.random() < 0.3, rng.random() < 0.7
@@ -700,17 +880,27 @@ def train(texts: list[str], editor: Editor, seed: int = 3, rounds: int = ROUNDS,
     while a < len(texts):  # files of one to four texts, so of two pages and more
         files.append(texts[a : a + rng.randint(1, 4)])
         a += len(files[-1])
+    waiting: list[list[tuple[str, int, int]]] = []
+
+    def read() -> None:
+        for pages, (rows,) in zip(waiting, lines_of_files([["\n".join(x for x, _, _ in pages)] for pages in waiting]), strict=True):
+            width = max(len(r.text) for r in rows)
+            examples_of_lines.extend((line_candidates(rows, k, width), {role}) for k, (_, role, _) in enumerate(pages) if role or rows[k].number or rows[k].repeated > 1 or some.random() < 0.1)
+        waiting.clear()
+
     for own in [x for x in files for _ in range(paginations)]:
         pages = noisy_pages(own, rng, editor.confusions)
-        rows = lines_of_file(["\n".join(x for x, _, _ in pages)])[0]
-        width = max(len(r.text) for r in rows)
-        examples_of_lines += [(line_candidates(rows, k, width), {role}) for k, (_, role, _) in enumerate(pages) if role or rows[k].number or rows[k].repeated > 1 or some.random() < 0.1]
+        width = max(len(x) for x, _, _ in pages)
+        waiting.append(pages)
+        if len(waiting) >= BATCH:
+            read()
         body = [(x, end) for x, role, end in pages if role == TEXT]
         for (x, end), (y, _) in zip(body, body[1:], strict=False):
             if end >= 0 and (end == JOIN or x[-1:] in MARKS or rng.random() < 0.3):
                 examples_of_ends.append((end_candidates(x, y, width, lexicon), {end}))
             elif end == -1:  # a hyphen of its own: the line end goes, the hyphen stays; nothing to mend
                 examples_of_ends.append((end_candidates(x, y, width, lexicon), {SPACE}))
+    read()
     words = list(dict.fromkeys(m for t in texts for m in _atoms(t))) if words is None else list(words)
     rng.shuffle(words)
     # codes are right as they are, whether the texts have any or not
@@ -736,16 +926,11 @@ def train(texts: list[str], editor: Editor, seed: int = 3, rounds: int = ROUNDS,
             right = {0}
         else:
             distance = _distance(noisy, w)
-            right = {k for k, p in enumerate(plans) if p and _distance(apply(noisy, p), w) < distance and (apply(noisy, p) == w or distance > 3)} or {k for k, p in enumerate(plans) if p and apply(noisy, p) == w}
+            right = {k for k, p in enumerate(plans) if p and (apply(noisy, p) == w or distance > 3 and _distance(apply(noisy, p), w) < distance)} or {k for k, p in enumerate(plans) if p and apply(noisy, p) == w}
         if right:
             prepared.append((features, right))
     for model, data in ((editor.characters, prepared), (editor.ends, examples_of_ends), (editor.lines, examples_of_lines)):  # lines last: as above
-        for _ in range(rounds):
-            rng.shuffle(data)
-            for candidates, right in data:
-                model.learn(candidates, right)
-        model.average()
-        model.examples = len(data)
+        model.learn_all(data, rounds, rng)
     return editor
 
 
@@ -769,7 +954,11 @@ def trained(clean: DataFrame, editor: Editor, training: int = TRAINING) -> Edito
     def weights(own: list[str], of_words: bool) -> pa.RecordBatch:
         base = held.value
         new = Editor(base.lexicon, base.scanned, base.confusions, base.letters)
-        train([] if of_words else own, new, _signed_hash(min(own)), passes, passes, own if of_words else [])
+        gc.disable()  # many objects, none in cycles
+        try:
+            train([] if of_words else own, new, _signed_hash(min(own)), passes, passes, own if of_words else [])
+        finally:
+            gc.enable()
         models = {"characters": new.characters} if of_words else {"ends": new.ends, "lines": new.lines}
         rows = [(m, f, w * p.examples, 0) for m, p in models.items() for f, w in p.weights.items()] + [(m, None, 0.0, p.examples) for m, p in models.items()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["model", "feature", "w", "n"])
@@ -789,7 +978,10 @@ def trained(clean: DataFrame, editor: Editor, training: int = TRAINING) -> Edito
 
     def atoms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(dict.fromkeys(m for t in batch.column(0).to_pylist() for m in _atoms(t))), pa.string())], names=["w"])
+            spaced: set[str] = set()  # as above
+            for t in batch.column(0).to_pylist():
+                spaced.update(t.split())
+            yield pa.RecordBatch.from_arrays([pa.array(list({w for t in spaced for w in _atoms(t)}), pa.string())], names=["w"])
 
     schema = "model string, feature string, w double, n long"
     words = durable(clean.select("testo").mapInArrow(atoms, "w string").distinct())
@@ -825,7 +1017,7 @@ class _Hidden(Lexicon):
     """The lexicon without one word."""
 
     def __init__(self, lexicon: Lexicon, word: str) -> None:
-        super().__init__(lexicon.counters, lexicon.hashes, lexicon.seen)
+        super().__init__(lexicon.counters, lexicon.hashes, lexicon.seen, lexicon.contexts)
         self.word = word
 
     def known(self, atom: str) -> int:
@@ -834,14 +1026,18 @@ class _Hidden(Lexicon):
     def levels(self, words: list[str]) -> np.ndarray:
         return np.where(np.array(words, object) == self.word.lower(), 0, super().levels(words))
 
+    def _level(self, word: str) -> int:
+        return 0 if word == self.word.lower() else super()._level(word)
+
 
 # ---------------------------------------------------------------- repair
-def repair_file(editor: Editor, texts: list[str], cuts: list[tuple[bool, bool]] | None = None, skip: int = 0) -> list[tuple[str, list[str], int]]:
+def repair_file(editor: Editor, texts: list[str], cuts: list[tuple[bool, bool]] | None = None, skip: int = 0, pieces: list[list[Line]] | None = None) -> list[tuple[str, list[str], int]]:
     """(text, kinds, edits) of the pieces of a file, in order, but the first ``skip``, which are only read.
 
     A kind is named only where the piece has it whole: not in what a piece's start or end may have cut (``cuts``).
+    ``pieces`` are their lines, where those have been read.
     """
-    pieces = lines_of_file(texts)
+    pieces = lines_of_file(texts) if pieces is None else pieces
     out = []
     for k, rows in enumerate(pieces):
         if k < skip:
@@ -900,10 +1096,11 @@ def repair_file(editor: Editor, texts: list[str], cuts: list[tuple[bool, bool]]
 def _fix(editor: Editor, text: str, cut_start: bool, cut_end: bool) -> tuple[str, int, int]:
     """Text with wrong characters replaced, how many words changed, and how many of them the piece has whole."""
     parts, done, count, whole = [], 0, 0, 0
+    seen = editor.seen
     for m in _ATOM.finditer(text):
-        a, b = m.span()
         atom = m[0]
-        if (new := editor.right(atom)) != atom:
+        if (new := seen.get(atom) or editor.right(atom)) != atom:
+            a, b = m.span()
             if not atom[0].isalpha() and new[0].isalpha():  # a sign or digit for a first letter doesn't tell its case
                 before = text[:a].rstrip(" \"'(«“")[-1:]
                 new = (new[0].upper() if not before or before in ".!?\n" else new[0].lower()) + new[1:] if new[1:].islower() else new
@@ -982,12 +1179,18 @@ def repair_scans(chunks: DataFrame, files: DataFrame, training: int = TRAINING)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         waiting: list[tuple] = []
+        groups: list[list[tuple]] = []
+
+        def read() -> Iterator[pa.RecordBatch]:
+            for group, pieces in zip(groups, lines_of_files([[r[4] for r in group] for group in groups]), strict=True):
+                yield from done(group, pieces)
+            groups.clear()
 
-        def done(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        def done(group: list[tuple], pieces: list[list[Line]]) -> Iterator[pa.RecordBatch]:
             # the block before comes first
             skip = sum(not r[5] for r in group)
             cuts = [(k > 0 if r[3] is None else r[3] > 0 or k > skip, (k + 1 < len(group) if r[3] is None else r[3] < r[6]) or len(r[4]) >= 2500) for k, r in enumerate(group)]
-            found = repair_file(own, [r[4] for r in group], cuts, skip)
+            found = repair_file(own, [r[4] for r in group], cuts, skip, pieces)
             group = group[skip:]
             if group:
                 columns = [[r[2] for r in group], [r[0] for r in group], [r[3] for r in group], *([f[k] for f in found] for k in range(3))]
@@ -996,12 +1199,15 @@ def repair_scans(chunks: DataFrame, files: DataFrame, training: int = TRAINING)
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if waiting and (waiting[0][:2] != r[:2] or len(waiting) >= 8 * BLOCK):
-                    yield from done(waiting)
+                    groups.append(waiting)
                     waiting = []
+                    if sum(map(len, groups)) >= 2 * BLOCK:
+                        yield from read()
                 if not waiting or waiting[-1][2] != r[2]:
                     waiting.append(r)
         if waiting:
-            yield from done(waiting)
+            groups.append(waiting)
+        yield from read()
 
     block = F.when(F.col("n").isNull(), -1 - F.floor(F.col("id") / BLOCK)).otherwise(F.floor(F.col("n") / BLOCK))
     twice = (F.col("_b") >= 0) & (F.col("_b") < F.floor(F.col("ultimo") / BLOCK))

@@ -191,3 +191,78 @@ def test_all_clean_rows_train_the_editor(spark, tables):
     assert all_.lines.examples > 1.5 * few.lines.examples and all_.ends.examples > 1.5 * few.ends.examples
     assert all_.characters.weights and all_.letters == few.letters
     assert {r.id: r.tipi for r in S.repair_scans(chunk, files, 50).collect()}[900] == ["glifo", "pagina", "sillabazione", "testata"]
+
+
+def test_numbered_features_learn_what_named_ones_do():
+    rng = random.Random(3)
+    data = []
+    for _ in range(400):
+        candidates = [[f"{k} {rng.randrange(9)}" for _ in range(rng.randint(2, 5))] for k in range(rng.randint(2, 4))]
+        data.append((candidates, {rng.randrange(len(candidates))} | ({0} if rng.random() < 0.2 else set())))
+    one, other, mixed, order = S.Perceptron(), S.Perceptron(), list(data), random.Random(4)
+    for _ in range(3):
+        order.shuffle(mixed)
+        for candidates, right in mixed:
+            one.learn(candidates, right)
+    one.average()
+    other.learn_all(data, 3, random.Random(4))
+    assert other.weights == one.weights and other.examples == 400
+
+
+def test_few_candidates_are_looked_up_and_no_known_word_is_lost(monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(sentence(rng) for _ in range(12)) for _ in range(100)]
+    lexicon, letters = fitted(texts, []).lexicon, "abcdefghilmnopqrstuvzàè"
+    words = [w for w in NOUNS + VERBS + ["Regolamento", "MAGAZZINO"] for _ in range(4)]
+    words = [w[:k] + rng.choice(["", "x", "|", "0", w[k] * 2]) + w[k + 1 :] for w in words for k in (rng.randrange(len(w)),)] + ["Σontratto", "İnventario"]
+    whole = {}
+    for w in words:
+        plans = [(k, w[k], c) for k in range(len(w)) for c in letters if c != w[k]] + [(k, w[k], "") for k in range(len(w))] + [(k, "", c) for k in range(len(w) + 1) for c in letters]
+        level = lexicon.levels([S.apply(w, p).lower() for p in plans])
+        whole[w] = [p for p, n in zip(plans, level, strict=True) if n >= 16]
+    assert {w: S.other_edits(w, lexicon, letters) for w in words} == whole and sum(map(bool, whole.values())) > 40
+    asked = []
+    levels = S.Lexicon.levels
+    monkeypatch.setattr(S.Lexicon, "levels", lambda self, own: asked.append(len(own)) or levels(self, own))
+    for w in words[:-2]:
+        S.other_edits(w, lexicon, letters)
+    assert sum(asked) < 60 * len(words)  # over 400 a word, were all listed
+
+
+def test_lines_are_compared_by_bounds_that_lose_none(monkeypatch):
+    rng = random.Random(12)
+    calls = []
+    common = S._common
+    monkeypatch.setattr(S, "_common", lambda a, b: calls.append(1) or common(a, b))
+    plain = list(dict.fromkeys(f"{rng.choice(NOUNS)} {rng.choice(VERBS)} {rng.choice(TAILS)} {rng.choice(NOUNS)} {rng.choice(VERBS)}" for _ in range(150)))
+    S.lines_of_file(["\n".join(plain[:120])])
+    assert len(calls) < 120  # several a line before
+    monkeypatch.undo()
+    files = []
+    for _ in range(12):
+        lines = [x * rng.choice((1, 1, 2)) for x in rng.sample(plain, 12)]
+        lines += [S.misread(x, rng, {"c": {"e": 3}, "m": {"rn": 3}}, "abcdeфß", rng.randint(1, 9)) for x in lines] + ["\U0001f600 uno due", "a" * 70 + "b" * 60, "a" * 66 + "b" * 60]
+        files.append(lines)
+    found = S._near([(x[5:], x) for x in files] + [([], []), (["solo"], [])])
+    assert [{(a, b) for a, own in near.items() for b in own if S._similar(a, b)} for near in found[:12]] == [{(a, b) for a in x[5:] for b in x if a != b and abs(len(a) - len(b)) <= 4 and S._similar(a, b)} for x in files]
+    assert found[12:] == [{}, {}]
+    texts = [["\n".join(x[:14]), "\n".join(x[14:])] for x in files]
+    assert S.lines_of_files(texts) == [S.lines_of_file(t) for t in texts]
+    assert all(S._folded(x) == S.re.sub(r"[^\w]+", " ", x.lower().translate(S._FOLD)).strip() for x in [*map(chr, range(3000)), "È 5¬ – x", "  [12] (Ì)­ |a", "Å b\u0085c"])
+    assert all(S.header_part(x) == ((m[1], True) if (m := S._TAIL.match(x)) else (x, False)) for x in ["Atti | 3", "Atti  xiv", "Atti\tpag. 3", "Atti - 3", "Atti – [3]", "Atti – 12 di 14", "Atti xiv", "Atti di", "A 3", "Atti | İ", "x | ٣", "", "|", "Atti · — 3 —"])
+
+
+def test_pages_hold_all_words_in_order():
+    rng = random.Random(13)
+    for k in range(40):
+        texts = ["\n".join(" ".join(sentence(rng) if rng.random() < 0.8 else "auto-moto " + "z" * rng.randint(1, 120) for _ in range(rng.randint(0, 4))) for _ in range(5)) + " fine" for _ in range(3)]
+        pages = S.noisy_pages(texts, random.Random(k), {})
+        body = "".join(x[: -(end == S.JOIN) or None] + ("" if end in (S.JOIN, -1) else " ") for x, role, end in pages if role == S.TEXT).split()
+        rest = iter(body)
+        assert all(w in rest for t in texts for w in t.split())
+
+
+def test_words_are_counted_as_found_in_the_whole_text(spark):
+    texts = ["Il contratto, l'atto; l'atto e_il co- ntratto  ΟΔΟΣ ΟΔΟΣ, x\x1cy", "l'atto è qui", None, ""]
+    rows = S.word_counts(spark.createDataFrame([(t,) for t in texts], "testo string")).collect()
+    assert {r.w: r.c for r in rows if r.w} == Counter(w for t in texts if t for w in S._WORD.findall(t.lower()))
